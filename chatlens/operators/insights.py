@@ -95,9 +95,8 @@ def resample(daily: DataFrame, granularity: str, shift: bool = False) -> DataFra
     sums = _period_sums(daily, granularity)
     # One row, exploded to one row per period: as long as the calendar, not
     # as the data.
-    calendar = sums.agg(
-        F.explode(F.sequence(F.min("dt"), F.max("dt"), period_step(granularity))).cast("date").alias("dt")
-    )
+    span = sums.agg(F.sequence(F.min("dt"), F.max("dt"), period_step(granularity)).alias("days"))
+    calendar = span.select(F.explode("days").alias("dt"))
     filled = calendar.join(sums, "dt", "left").na.fill(0, _measures_of(sums))
     return _shifted(filled, granularity, shift)
 

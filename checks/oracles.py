@@ -49,7 +49,7 @@ COUNTS = ", ".join(f"count(*) FILTER (WHERE {CONDITIONS[m]}) AS {m}" for m in CO
 
 
 def _code_points(blocks) -> str:
-    return " UNION ALL ".join(f"SELECT unnest(range({first}, {last + 1})) AS code" for first, last in blocks)
+    return " UNION ALL ".join(f"SELECT CAST(unnest(range({first}, {last + 1})) AS INT) AS code" for first, last in blocks)
 
 
 EMOTE_CASES = " ".join(f"WHEN {code} THEN '{label}'" for code, label in EMOTE_LABELS.items())
@@ -206,6 +206,8 @@ def statement(select: str, binding: str = "conversations") -> str:
     add(select)
     if not needed:
         return select
+    if select.lstrip().startswith("WITH"):
+        select = f"SELECT * FROM ({select})"
     return "WITH " + ",\n".join(f"{name} AS ({steps[name]})" for name in needed) + "\n" + select
 
 
