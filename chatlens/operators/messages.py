@@ -42,11 +42,12 @@ def special_type(kind: Column, bundle: Column, text: Column, attached: Column, d
         ((kind == 2) & bundle.contains("imessagepoll"), "poll"),
         (in_app & bundle.contains("gamepigeon"), "game_pigeon"),
         (in_app & bundle.contains("messages.business.extension"), "business_extension"),
-        (notice & words.endswith("earned an achievement."), "activity"),
-        (notice & words.endswith("completed a workout."), "activity"),
-        (notice & words.endswith("closed all three activity rings."), "activity"),
+        (
+            notice & words.rlike(r"(earned an achievement|completed a workout|closed all three activity rings)\.\z"),
+            "activity",
+        ),
         (notice & words.like("requested % with apple pay."), "apple_cash"),
-        (notice & (words.contains("poll") | words.contains("voted")), "poll"),
+        (notice & words.rlike("poll|voted"), "poll"),
         (notice & text.isin("Cup Pong", "8 Ball"), "game_pigeon"),
         (notice & (text == "(null)"), "null_message"),
         ((kind == 1000) & (attached == 1) & (detected == 1), "sticker"),
@@ -111,7 +112,7 @@ def message_user(message: DataFrame, chat: DataFrame, chat_message_join: DataFra
     )
 
     # A URL shows in the first six characters, so only those are lower-cased.
-    scheme = F.lower(F.substring("words", 1, 6))
+    starts_url = F.lower(F.substring("words", 1, 6)).rlike("^https?:")
     labelled = cleaned.select(
         "message_id",
         "ts",
@@ -124,7 +125,7 @@ def message_user(message: DataFrame, chat: DataFrame, chat_message_join: DataFra
         special_type(
             kind, F.col("balloon_bundle_id"), F.col("words"), F.col("cache_has_attachments"), F.col("was_data_detected")
         ).alias("message_special_type"),
-        surely(scheme.startswith("http:") | (scheme == "https:")).alias("is_url"),
+        surely(starts_url).alias("is_url"),
         F.coalesce(F.length("words") == 0, F.lit(True)).alias("has_no_text"),
         surely(F.col("cache_has_attachments") == 1).alias("attached"),
     )

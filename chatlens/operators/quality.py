@@ -83,29 +83,20 @@ def null_flags(message_user: DataFrame) -> DataFrame:
     return message_user.where(reduce(lambda a, b: a | b, (F.col(flag).isNull() for flag in FLAGS)))
 
 
-def all_checks(
-    message_user: DataFrame,
-    group_names: DataFrame,
-    manual: DataFrame,
-    contacts: DataFrame,
-    ignored: DataFrame,
-    more_than: int = MORE_THAN_MESSAGES,
-) -> dict[str, DataFrame]:
-    """The five checks; each is empty when all is well."""
-    return {
-        "qc_duplicate_chat_identifier_defs": duplicate_identifier_definitions(group_names, manual, contacts),
-        "qc_duplicate_message_id": duplicate_message_ids(message_user),
-        "qc_message_special_types": unmapped_special_types(message_user),
-        "qc_missing_contact_names": missing_contact_names(message_user, ignored, more_than=more_than),
-        "qc_null_flags": null_flags(message_user),
-    }
-
-
-def run_quality_control(checks: Mapping[str, DataFrame]) -> DataFrame:
-    """(check_name, n_rows, failed), one row per check."""
+CHECKS = (
+    "qc_duplicate_chat_identifier_defs",
+    "qc_duplicate_message_id",
+    "qc_message_special_types",
+    "qc_missing_contact_names",
+    "qc_null_flags",
+)
+
+
+def run_quality_control(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(check_name, n_rows, failed), one row per check table."""
     counted = (
-        rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("check_name"), "n_rows")
-        for name, rows in checks.items()
+        tables[name].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("check_name"), "n_rows")
+        for name in CHECKS
     )
     return reduce(DataFrame.unionByName, counted).withColumn("failed", F.col("n_rows") > 0)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,105 +14,107 @@ from chatlens.sources.sinks import materialise
 from chatlens.sources.tables import empty_table
 
 
-def contact_tables(spark: SparkSession, sources: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Static tables (empty where not given), dimensions and the contact map."""
-    tables = {name: sources.get(name) or empty_table(spark, schema) for name, schema in STATIC_SCHEMAS.items()}
-    tables["stopwords"] = stopword_dim(spark, sources.get("stopwords"))
-    tables["emoji_text_map"] = emoji_dim(spark, sources.get("emoji_text_map"))
-    tables["contact_group_names"] = contacts.contact_group_names(sources["message"])
-    tables["contacts_user"] = contacts.contacts_user(
-        tables["contact_group_names"], tables["contacts_manual"], tables["contacts"]
-    )
-    return tables
+# One line per table; a new derived table is one function and one line here.
+BUILDERS: dict[str, Callable[[TableSet], DataFrame]] = {
+    **{name: lambda t, schema=schema: empty_table(t.spark, schema) for name, schema in STATIC_SCHEMAS.items()},
+    "stopwords": lambda t: stopword_dim(t.spark),
+    "emoji_text_map": lambda t: emoji_dim(t.spark),
+    "contact_group_names": lambda t: contacts.contact_group_names(t["message"]),
+    "contacts_user": lambda t: contacts.contacts_user(t["contact_group_names"], t["contacts_manual"], t["contacts"]),
+    "message_user": lambda t: messages.message_user(
+        t["message"], t["chat"], t["chat_message_join"], t["contacts_user"]
+    ),
+    "message_user_text": lambda t: tokens.message_user_text(t["message_user"]),
+    "message_tokens_unnest": lambda t: tokens.message_tokens_unnest(t["message_user"], t["stopwords"]),
+    "message_tokens": lambda t: tokens.message_tokens(t["message_user"]),
+    "message_emoji_map": lambda t: tokens.message_emoji_map(t["message_user"], t["emoji_text_map"]),
+    "daily_facts": lambda t: summaries.daily_facts(t["message_user"]),
+    "daily_summary_contact_from_who": lambda t: summaries.daily_summary_contact_from_who(t["daily_facts"]),
+    "daily_summary_contact": lambda t: summaries.daily_summary_contact(t["daily_summary_contact_from_who"]),
+    "daily_summary_from_who": lambda t: summaries.daily_summary_from_who(t["daily_summary_contact_from_who"]),
+    "daily_summary": lambda t: summaries.daily_summary(t["daily_summary_contact_from_who"]),
+    "summary": lambda t: summaries.summary(t["daily_summary_contact_from_who"]),
+    "summary_from_who": lambda t: summaries.summary_from_who(t["daily_summary_contact_from_who"]),
+    "summary_contact": lambda t: summaries.summary_contact(t["daily_facts"]),
+    "summary_contact_from_who": lambda t: summaries.summary_contact_from_who(t["daily_facts"]),
+    "contact_stats": lambda t: summaries.contact_stats(t["daily_facts"], t.as_of),
+    "contact_daily_message_volume": lambda t: summaries.contact_daily_message_volume(t["message_user"]),
+    "message_count_top_contacts": lambda t: summaries.message_count_top_contacts(t["message_user"]),
+    "contact_group_chat_map": lambda t: summaries.contact_group_chat_map(t["message_user"]),
+    "contact_token_usage_daily_from_who": lambda t: tokens.contact_token_usage_daily_from_who(t["message_user_text"]),
+    "contact_token_usage_daily": lambda t: tokens.contact_token_usage_daily(t["contact_token_usage_daily_from_who"]),
+    "contact_token_usage_from_who": lambda t: tokens.contact_token_usage_from_who(
+        t["contact_token_usage_daily_from_who"]
+    ),
+    "contact_token_usage": lambda t: tokens.contact_token_usage(t["contact_token_usage_daily_from_who"]),
+    "contact_top_token_usage_by_length": lambda t: tokens.contact_top_token_usage_by_length(
+        t["contact_token_usage_from_who"]
+    ),
+    "qc_duplicate_chat_identifier_defs": lambda t: quality.duplicate_identifier_definitions(
+        t["contact_group_names"], t["contacts_manual"], t["contacts"]
+    ),
+    "qc_duplicate_message_id": lambda t: quality.duplicate_message_ids(t["message_user"]),
+    "qc_message_special_types": lambda t: quality.unmapped_special_types(t["message_user"]),
+    "qc_missing_contact_names": lambda t: quality.missing_contact_names(t["message_user"], t["contacts_ignored"]),
+    "qc_null_flags": lambda t: quality.null_flags(t["message_user"]),
+}
+
+
+class TableSet(Mapping):
+    """Every table by name, planned on first use; nothing runs until read.
+
+    ``given`` holds message, chat and chat_message_join, and optionally
+    contacts, contacts_manual, contacts_ignored, stopwords, emoji_text_map.
+    A given table replaces the derived one of the same name.
+    """
 
+    def __init__(self, spark: SparkSession, given: Mapping[str, DataFrame], as_of: dt.date | None = None):
+        self.spark = spark
+        self.as_of = as_of or dt.date.today()
+        self._given = dict(given)
+        self._tables = dict(given)
 
-def message_table(sources: Mapping[str, DataFrame], tables: Mapping[str, DataFrame]) -> DataFrame:
-    return messages.message_user(
-        sources["message"], sources["chat"], sources["chat_message_join"], tables["contacts_user"]
-    )
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = BUILDERS[name](self)
+        return self._tables[name]
 
+    def __iter__(self) -> Iterator[str]:
+        return iter(BUILDERS)
 
-def derived_tables(
-    tables: Mapping[str, DataFrame], facts: DataFrame | None = None, usage: DataFrame | None = None, as_of: dt.date | None = None
-) -> dict[str, DataFrame]:
-    """Everything that follows from message_user and the dimensions.
+    def __len__(self) -> int:
+        return len(BUILDERS)
 
-    ``facts`` (daily_facts) and ``usage`` (daily token usage) may be given as
-    written tables; the rest are views over them.
-    """
-    message_user = tables["message_user"]
-    text = tokens.message_user_text(message_user)
-    facts = summaries.daily_facts(message_user) if facts is None else facts
-    usage = tokens.contact_token_usage_daily_from_who(text) if usage is None else usage
-    daily = summaries.daily_summary_contact_from_who(facts)
-    usage_from_who = tokens.contact_token_usage_from_who(usage)
-    return {
-        "message_user_text": text,
-        "message_tokens_unnest": tokens.message_tokens_unnest(message_user, tables["stopwords"]),
-        "message_tokens": tokens.message_tokens(message_user),
-        "message_emoji_map": tokens.message_emoji_map(message_user, tables["emoji_text_map"]),
-        "daily_facts": facts,
-        "daily_summary_contact_from_who": daily,
-        "daily_summary_contact": summaries.daily_summary_contact(daily),
-        "daily_summary_from_who": summaries.daily_summary_from_who(daily),
-        "daily_summary": summaries.daily_summary(daily),
-        "summary": summaries.summary(daily),
-        "summary_from_who": summaries.summary_from_who(daily),
-        "summary_contact": summaries.summary_contact(facts),
-        "summary_contact_from_who": summaries.summary_contact_from_who(facts),
-        "contact_stats": summaries.contact_stats(facts, as_of or dt.date.today()),
-        "contact_daily_message_volume": summaries.contact_daily_message_volume(message_user),
-        "message_count_top_contacts": summaries.message_count_top_contacts(message_user),
-        "contact_group_chat_map": summaries.contact_group_chat_map(message_user),
-        "contact_token_usage_daily_from_who": usage,
-        "contact_token_usage_daily": tokens.contact_token_usage_daily(usage),
-        "contact_token_usage_from_who": usage_from_who,
-        "contact_token_usage": tokens.contact_token_usage(usage),
-        "contact_top_token_usage_by_length": tokens.contact_top_token_usage_by_length(usage_from_who),
-        **quality.all_checks(
-            message_user,
-            tables["contact_group_names"],
-            tables["contacts_manual"],
-            tables["contacts"],
-            tables["contacts_ignored"],
-        ),
-    }
-
-
-def build_tables(
-    spark: SparkSession, sources: Mapping[str, DataFrame], as_of: dt.date | None = None
-) -> dict[str, DataFrame]:
-    """All tables as lazy frames; nothing runs yet.
-
-    ``sources`` holds message, chat and chat_message_join, and optionally
-    contacts, contacts_manual, contacts_ignored, stopwords, emoji_text_map.
-    """
-    tables = contact_tables(spark, sources)
-    tables["message_user"] = message_table(sources, tables)
-    return tables | derived_tables(tables, as_of=as_of)
+    def with_tables(self, **written: DataFrame) -> TableSet:
+        """The same sources with some tables already written."""
+        return TableSet(self.spark, self._given | written, self.as_of)
+
+
+# Written by refresh_tables, in this order: all other tables are views of them.
+WRITTEN_TABLES = {
+    "contact_group_names": None,
+    "contacts_user": None,
+    "message_user": "dt",
+    "daily_facts": None,
+    "contact_token_usage_daily_from_who": None,
+}
 
 
-def refresh_tables(
-    spark: SparkSession, sources: Mapping[str, DataFrame], out: str, as_of: dt.date | None = None
-) -> dict[str, DataFrame]:
-    """Write the tables that others are built on, and return all of them.
+def refresh_tables(tables: TableSet, out: str) -> TableSet:
+    """Write the tables that others are built on; return a set that reads them.
 
     ``out`` is a folder every executor can reach.  message_user is split by
     day, so date ranges prune files; the daily facts and the daily token usage
     are each written once and rolled up by all that follows.
     """
-    tables = contact_tables(spark, sources)
-    for name in ("contact_group_names", "contacts_user"):
-        tables[name] = materialise(tables[name], f"{out}/{name}")
-    written = materialise(message_table(sources, tables), f"{out}/message_user", partition_by="dt")
-    tables["message_user"] = written
-    facts = materialise(summaries.daily_facts(written), f"{out}/daily_facts")
-    usage = tokens.contact_token_usage_daily_from_who(tokens.message_user_text(written))
-    usage = materialise(usage, f"{out}/contact_token_usage_daily_from_who")
-    return tables | derived_tables(tables, facts, usage, as_of)
+    written: dict[str, DataFrame] = {}
+    for name, partition_by in WRITTEN_TABLES.items():
+        current = tables.with_tables(**written)
+        written[name] = materialise(current[name], f"{out}/{name}", partition_by)
+    return tables.with_tables(**written)
 
 
 def register_views(tables: Mapping[str, DataFrame]) -> None:
     """Expose every table under its name to Spark SQL."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+    for name in tables:
+        tables[name].createOrReplaceTempView(name)

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 
 from chatlens.functions.periods import RELATIVE_RANGES, relative_range
 from chatlens.operators import contacts, insights, messages, quality, summaries, tokens
-from chatlens.plans.tables import build_tables, contact_tables, derived_tables, register_views
-from chatlens.schemas import CONTACT_TYPES, MEASURES, OVERALL_TYPES, STATIC_SCHEMAS
-from chatlens.sources.dimensions import BARE_CONTRACTIONS, CONTRACTIONS, emoji_dim, stopword_dim
-from chatlens.sources.tables import empty_table
+from chatlens.plans.tables import TableSet, register_views
+from chatlens.schemas import CONTACT_TYPES, MEASURES, OVERALL_TYPES
+from chatlens.sources.dimensions import BARE_CONTRACTIONS, CONTRACTIONS
 from checks import bindings, oracles
 from checks.oracles import SUMS, _sum, favourites, period, resampled, resampled_by, statement, values
 
@@ -49,17 +48,13 @@ class Tables:
         return contacts.all_address_books([contacts.address_book(**book) for book in self.books])
 
     @cached_property
-    def all(self) -> dict[str, DataFrame]:
+    def all(self) -> TableSet:
         if self.binding == "conversations":
-            return build_tables(self.spark, self.raw, as_of=AS_OF)
-        tables = {name: empty_table(self.spark, schema) for name, schema in STATIC_SCHEMAS.items()}
-        tables["contact_group_names"] = empty_table(self.spark, STATIC_SCHEMAS["contacts_manual"]).withColumnRenamed(
-            "contact_name", "group_name"
-        )
-        tables |= {"stopwords": stopword_dim(self.spark), "emoji_text_map": emoji_dim(self.spark)}
-        text = bindings.EVENTS_MESSAGE_USER if self.binding == "events" else bindings.DOCUMENTS_MESSAGE_USER
-        tables["message_user"] = self.bound.sql(text)
-        return tables | derived_tables(tables, as_of=AS_OF)
+            given = self.raw
+        else:
+            text = bindings.EVENTS_MESSAGE_USER if self.binding == "events" else bindings.DOCUMENTS_MESSAGE_USER
+            given = {"message_user": self.bound.sql(text)}
+        return TableSet(self.spark, given, AS_OF)
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.all[name]
@@ -489,8 +484,8 @@ CHECKS_SQL = {
 
 
 def _report(t: Tables) -> DataFrame:
-    sources = (t["contact_group_names"], t["contacts_manual"], t["contacts"], t["contacts_ignored"])
-    return quality.run_quality_control(quality.all_checks(t["message_user"], *sources, more_than=3))
+    missing = quality.missing_contact_names(t["message_user"], t["contacts_ignored"], more_than=3)
+    return quality.run_quality_control(t.all.with_tables(qc_missing_contact_names=missing))
 
 
 register("run_quality_control", _report_sql(CHECKS_SQL))(_report)
@@ -935,7 +930,8 @@ def _(t):
     SUMMARIES,
 )
 def _(t):
-    register_views(t.all)
+    needed = ("daily_summary_contact",)
+    register_views({name: t[name] for name in needed})
     return t.spark.sql(
         """SELECT contact_name, sum(messages) AS messages, sum(tokens) AS words FROM daily_summary_contact
            WHERE contact_name IS NOT NULL GROUP BY contact_name"""
