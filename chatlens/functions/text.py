@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,28 +17,31 @@ SPACED_MARKS = (".", ",", "!", "?")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "’‘“”``"
 
 
+def replace_all(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
+    """Each pair replaced in turn; byte searches, faster than translate or a
+    regular expression."""
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def clean_text(text: Column) -> Column:
     """Drop the attachment mark, turn line breaks into spaces, trim spaces."""
-    return F.trim(F.translate(text, "\r\n" + OBJECT_REPLACEMENT, "  "))
+    return F.trim(replace_all(text, ((OBJECT_REPLACEMENT, ""), ("\r", " "), ("\n", " "))))
 
 
 def straight_quotes(text: Column) -> Column:
-    return F.translate(text, CURLY_QUOTES, STRAIGHT_QUOTES)
+    return replace_all(text, zip(CURLY_QUOTES, STRAIGHT_QUOTES))
 
 
 def split_suffixes(text: Column) -> Column:
     """Set 's and 'd off from the word before them."""
-    for suffix in SPLIT_SUFFIXES:
-        text = F.replace(text, F.lit(suffix), F.lit(" " + suffix))
-    return text
+    return replace_all(text, ((suffix, " " + suffix) for suffix in SPLIT_SUFFIXES))
 
 
 def normalise_text(text: Column) -> Column:
     """Straight quotes, split suffixes, and spaces around . , ! and ?"""
-    text = split_suffixes(straight_quotes(text))
-    for mark in SPACED_MARKS:
-        text = F.replace(text, F.lit(mark), F.lit(f" {mark} "))
-    return text
+    return replace_all(split_suffixes(straight_quotes(text)), ((mark, f" {mark} ") for mark in SPACED_MARKS))
 
 
 def tokens(text: Column) -> Column:

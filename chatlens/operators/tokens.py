@@ -1,4 +1,7 @@
-"""Text messages, tokens, token usage and word tables."""
+"""Text messages, tokens, token usage and word tables.
+
+Stop word and emoji tables hold each word once, as their keys declare.
+"""
 
 from __future__ import annotations
 
@@ -55,7 +58,7 @@ def message_tokens_unnest(message_user: DataFrame, stopwords: DataFrame) -> Data
     exploded = message_user.where(is_text_message()).select(
         "message_id", F.posexplode(words.tokens(F.col("text"))).alias("position", "token")
     )
-    stops = stopwords.select("stopword").distinct()
+    stops = stopwords.select("stopword")
     return exploded.join(stops, F.lower("token") == F.col("stopword"), "left").select(
         "message_id",
         (F.col("position") + 1).alias("ordinal_position"),
@@ -79,7 +82,7 @@ def message_emoji_map(message_user: DataFrame, emoji: DataFrame) -> DataFrame:
     """
     message_words = F.when(is_text_message(), F.array_distinct(words.tokens(F.col("text"))))
     exploded = message_user.select("message_id", F.explode_outer(message_words).alias("token"))
-    known = emoji.select("emoji").distinct()
+    known = emoji.select("emoji")
     return (
         exploded.join(known, F.col("token") == F.col("emoji"), "left")
         .groupBy("message_id")
@@ -95,8 +98,8 @@ def token_dictionary(
     distinct = tokens.select(F.lower("token").alias("token")).distinct()
     if existing is not None:
         distinct = distinct.join(existing.select(F.lower("token").alias("token")), "token", "left_anti")
-    stops = stopwords.select(F.col("stopword").alias("token")).distinct().withColumn("stop", F.lit(True))
-    known = emoji.select(F.col("emoji").alias("token")).distinct().withColumn("picture", F.lit(True))
+    stops = stopwords.select(F.col("stopword").alias("token")).withColumn("stop", F.lit(True))
+    known = emoji.select(F.col("emoji").alias("token")).withColumn("picture", F.lit(True))
     return (
         distinct.join(stops, "token", "left")
         .join(known, "token", "left")

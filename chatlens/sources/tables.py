@@ -28,6 +28,17 @@ def read_source(
     return reader.load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A source with fewer file splits than cores, dealt out over all cores.
+
+    Text work is bound by the processor, and one small file would keep it on
+    one core.  Sources with enough splits, so all large ones, come back as
+    they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def check_catalog(spark: SparkSession, present: Iterable[str], expected: Iterable[str] = SOURCE_TABLES) -> DataFrame:
     """(table, problem) for catalogued tables that are missing and for tables
     nobody catalogued."""

@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chatlens.sources.tables import spread
+
 GIVEN_TABLES = ("conversations", "documents", "events", "customer", "nation")
 
 # One row per turn with its ids and the case it plays.
@@ -228,7 +230,8 @@ class Bound:
         self.folder = folder
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name == "documents" else df
 
     def sql(self, text: str, **tables: DataFrame) -> DataFrame:
         """Run a shared text; the names after FROM and JOIN are given tables
