@@ -33,6 +33,13 @@ def _owned(person: DataFrame, details: DataFrame, column: str, name: str) -> Dat
     return people(person).join(owned, "owner").drop("owner")
 
 
+def identifiers(person: DataFrame, email: DataFrame, phone: DataFrame) -> DataFrame:
+    """(first_name, last_name, identifier_type, value), one row per detail."""
+    phones = _owned(person, phone, "ZFULLNUMBER", "value").withColumn("identifier_type", F.lit("phone"))
+    emails = _owned(person, email, "ZADDRESS", "value").withColumn("identifier_type", F.lit("email"))
+    return phones.unionByName(emails)
+
+
 def person_emails(person: DataFrame, email: DataFrame) -> DataFrame:
     """(first_name, last_name, email) with all addresses of a name joined by ';'."""
     return _join_values(_owned(person, email, "ZADDRESS", "email"), "email")
@@ -44,6 +51,8 @@ def person_phones(person: DataFrame, phone: DataFrame) -> DataFrame:
 
 
 def _join_values(rows: DataFrame, name: str) -> DataFrame:
+    # One row per name is what this report is; the contact map below is built
+    # from the single details and never gathers a name's details in one place.
     values = F.array_sort(F.collect_list(name))
     return rows.groupBy(*PERSON_KEYS).agg(F.array_join(values, SEPARATOR).alias(name))
 
@@ -54,7 +63,7 @@ def address_book(person: DataFrame, email: DataFrame, phone: DataFrame) -> DataF
 
 
 def all_address_books(books: Sequence[DataFrame]) -> DataFrame:
-    """Distinct rows of all address books."""
+    """Distinct rows of all address books, in either form."""
     return reduce(DataFrame.unionByName, books).distinct()
 
 
@@ -67,20 +76,18 @@ def full_name() -> Column:
     return F.trim(F.concat_ws(" ", "first_name", "last_name"))
 
 
-def contact_map(book: DataFrame, ignored_names: Sequence[str] = IGNORED_NAMES) -> DataFrame:
+def contact_map(identifiers: DataFrame, ignored_names: Sequence[str] = IGNORED_NAMES) -> DataFrame:
     """(contact_name, chat_identifier, identifier_type), distinct.
 
     Every phone number appears in each of its spellings.
     """
-    named = book.withColumn("contact_name", full_name()).where(~F.col("contact_name").isin(*ignored_names))
-    numbers = F.flatten(F.transform(split_values("phone_number"), phone_spellings))
-
-    def identifiers(values: Column, kind: str) -> DataFrame:
-        return named.select(
-            "contact_name", F.explode(values).alias("chat_identifier"), F.lit(kind).alias("identifier_type")
-        )
-
-    return identifiers(numbers, "phone").unionByName(identifiers(split_values("email"), "email")).distinct()
+    details = identifiers.select(
+        full_name().alias("contact_name"), "identifier_type", F.explode(split_values("value")).alias("detail")
+    ).where(~F.col("contact_name").isin(*ignored_names))
+    spellings = F.when(F.col("identifier_type") == "phone", phone_spellings(F.col("detail"))).otherwise(
+        F.array("detail")
+    )
+    return details.select("contact_name", F.explode(spellings).alias("chat_identifier"), "identifier_type").distinct()
 
 
 def contact_load_counts(book: DataFrame, ignored_names: Sequence[str] = IGNORED_NAMES) -> DataFrame:

@@ -119,6 +119,9 @@ def book_sql(number: int, select: str) -> str:
     return f"WITH {BOOK_SQL.format(people=bindings.BOOK_PEOPLE[number])} {select}"
 
 
+PEOPLE_OF_FIRST_BOOK = f"""
+    SELECT Z_PK, coalesce(ZFIRSTNAME, '') AS first_name, coalesce(ZLASTNAME, '') AS last_name
+    FROM ({bindings.BOOK_PEOPLE[0]})"""
 COMPACT = """SELECT coalesce(e.first_name, p.first_name) AS first_name, coalesce(e.last_name, p.last_name) AS last_name,
                     email, phone_number
              FROM emails e FULL JOIN phones p ON e.first_name = p.first_name AND e.last_name = p.last_name"""
@@ -183,7 +186,18 @@ def _(t):
         WHERE part <> '' AND contact_name <> 'Error'""",
 )
 def _(t):
-    return contacts.contact_map(t.book)
+    return contacts.contact_map(contacts.all_address_books([contacts.identifiers(**book) for book in t.books]))
+
+
+@register(
+    "identifiers",
+    f"""SELECT p.first_name, p.last_name, 'email' AS identifier_type, coalesce(e.ZADDRESS, '') AS value
+        FROM email e JOIN ({PEOPLE_OF_FIRST_BOOK}) p ON p.Z_PK = e.ZOWNER
+        UNION ALL SELECT p.first_name, p.last_name, 'phone', coalesce(e.ZFULLNUMBER, '')
+        FROM phone e JOIN ({PEOPLE_OF_FIRST_BOOK}) p ON p.Z_PK = e.ZOWNER""",
+)
+def _(t):
+    return contacts.identifiers(**t.books[0])
 
 
 @register(

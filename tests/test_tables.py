@@ -105,11 +105,11 @@ def test_unfinished_snapshot_is_rebuilt(spark, tmp_path):
 
 
 def book(spark, people, phones, emails):
-    return contacts.address_book(
-        spark.createDataFrame(people, ADDRESS_BOOK_SCHEMAS["person"]),
-        spark.createDataFrame(emails, ADDRESS_BOOK_SCHEMAS["email"]),
-        spark.createDataFrame(phones, ADDRESS_BOOK_SCHEMAS["phone"]),
-    )
+    return {
+        "person": spark.createDataFrame(people, ADDRESS_BOOK_SCHEMAS["person"]),
+        "email": spark.createDataFrame(emails, ADDRESS_BOOK_SCHEMAS["email"]),
+        "phone": spark.createDataFrame(phones, ADDRESS_BOOK_SCHEMAS["phone"]),
+    }
 
 
 def test_contact_map(spark):
@@ -119,24 +119,27 @@ def test_contact_map(spark):
         [(1, "4155552671"), (1, None), (3, "911"), (4, "912")],
         [(2, "b@x"), (2, "a@x"), (3, None)],
     )
-    two = book(spark, [(7, "Ann", "Lee")], [(7, "415 555 2671")], [(7, "c@x")])
-    assert rows(one.na.fill("-")) == [
+    two = book(spark, [(7, "Ann", "Lee")], [(7, "415 555 2671")], [(7, "c@x;d@x")])
+    compact = contacts.address_book(**one)
+    assert rows(compact.na.fill("-")) == [
         ("", "Bo", "", "911"),
         ("Ann", "Lee", "a@x;b@x", ";4155552671"),
         ("Error", "", "-", "912"),
     ]
-    everyone = contacts.all_address_books([one, one, two])
+    everyone = contacts.all_address_books([compact, compact, contacts.address_book(**two)])
     assert everyone.count() == 4
-    assert rows(contacts.contact_map(everyone)) == [
+    assert contacts.contact_load_counts(everyone).first().asDict() == {"n_names": 3, "n_kept": 3, "n_ignored": 1}
+    mapped = contacts.contact_map(contacts.all_address_books([contacts.identifiers(**each) for each in (one, one, two)]))
+    assert rows(mapped) == [
         ("Ann Lee", "(415) 555-2671", "phone"),
         ("Ann Lee", "+1 415-555-2671", "phone"),
         ("Ann Lee", "+14155552671", "phone"),
         ("Ann Lee", "a@x", "email"),
         ("Ann Lee", "b@x", "email"),
         ("Ann Lee", "c@x", "email"),
+        ("Ann Lee", "d@x", "email"),
         ("Bo", "911", "phone"),
     ]
-    assert contacts.contact_load_counts(everyone).first().asDict() == {"n_names": 3, "n_kept": 3, "n_ignored": 1}
 
 
 def test_refresh_equals_lazy_tables(spark, tmp_path):
