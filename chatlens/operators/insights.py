@@ -92,12 +92,21 @@ def resample(daily: DataFrame, granularity: str, shift: bool = False) -> DataFra
     """
     if granularity == "Day":
         return _shifted(daily, granularity, shift)
-    sums = _period_sums(daily, granularity)
-    # One row, exploded to one row per period: as long as the calendar, not
-    # as the data.
-    span = sums.agg(F.sequence(F.min("dt"), F.max("dt"), period_step(granularity)).alias("days"))
-    calendar = span.select(F.explode("days").alias("dt"))
-    filled = calendar.join(sums, "dt", "left").na.fill(0, _measures_of(sums))
+    sums = _period_sums(daily.where(F.col("dt").isNotNull()), granularity)
+    # Each period is repeated up to the next one that has rows; the repeats
+    # count 0.  The window sees one row per period: as long as the calendar,
+    # not as the data.
+    following = F.lead("dt").over(Window.orderBy("dt"))
+    empty_after = F.sequence("dt", F.coalesce(following, F.col("dt")), period_step(granularity))
+    until_next = F.when(following.isNull(), empty_after).otherwise(F.slice(empty_after, 1, F.size(empty_after) - 1))
+    measures = _measures_of(sums)
+    repeated = sums.withColumn("periods", until_next).select(
+        F.posexplode("periods").alias("position", "period"), *measures
+    )
+    filled = repeated.select(
+        F.col("period").alias("dt"),
+        *(F.when(F.col("position") == 0, F.col(measure)).otherwise(0).alias(measure) for measure in measures),
+    )
     return _shifted(filled, granularity, shift)
 
 
@@ -144,17 +153,33 @@ def busiest_weekday(daily: DataFrame) -> DataFrame:
 
 
 def contact_share(daily_contact: DataFrame, contact: str, granularity: str) -> DataFrame:
-    """Share of a contact in all contacts' messages by period."""
-    one = resample(one_contact(daily_contact, contact).select("dt", DISPLAY_COUNT), granularity)
-    everyone = (
-        resample_by(daily_contact.select("contact_name", "dt", DISPLAY_COUNT), granularity, ["contact_name"])
-        .groupBy("dt")
-        .agg(F.sum(DISPLAY_COUNT).alias("messages_all_contacts"))
+    """Share of a contact in all contacts' messages by period.
+
+    Periods run from the contact's first to its last one, as far as anyone
+    wrote in them.  Both sums come from one pass; the window that finds the
+    contact's span sees one row per period.
+    """
+    own = F.col("contact_name") == F.lit(contact)
+    everyone = Window.partitionBy()
+    by_period = (
+        daily_contact.where(F.col("contact_name").isNotNull() & F.col("dt").isNotNull())
+        .groupBy(period_of(F.col("dt"), granularity).alias("dt"))
+        .agg(
+            F.coalesce(F.sum(F.when(own, F.col(DISPLAY_COUNT))), F.lit(0)).alias("messages_contact"),
+            F.sum(DISPLAY_COUNT).alias("messages_all_contacts"),
+            F.count_if(own).alias("own_days"),
+        )
     )
+    own_period = F.when(F.col("own_days") > 0, F.col("dt"))
     return (
-        one.withColumnRenamed(DISPLAY_COUNT, "messages_contact")
-        .join(everyone, "dt")
-        .withColumn("rate", F.try_divide("messages_contact", "messages_all_contacts"))
+        by_period.withColumns({"first": F.min(own_period).over(everyone), "last": F.max(own_period).over(everyone)})
+        .where(F.col("dt").between(F.col("first"), F.col("last")))
+        .select(
+            "dt",
+            "messages_contact",
+            "messages_all_contacts",
+            F.try_divide("messages_contact", "messages_all_contacts").alias("rate"),
+        )
     )
 
 
