@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from chatlens.operators import contacts, messages, quality, summaries, tokens
-from chatlens.schemas import STATIC_SCHEMAS
+from chatlens.schemas import SOURCE_TABLES, STATIC_SCHEMAS
 from chatlens.sources.dimensions import emoji_dim, stopword_dim
 from chatlens.sources.sinks import materialise
 from chatlens.sources.tables import empty_table
@@ -80,10 +80,10 @@ class TableSet(Mapping):
         return self._tables[name]
 
     def __iter__(self) -> Iterator[str]:
-        return iter(BUILDERS)
+        return iter(self._given | BUILDERS)
 
     def __len__(self) -> int:
-        return len(BUILDERS)
+        return len(self._given | BUILDERS)
 
     def with_tables(self, **written: DataFrame) -> TableSet:
         """The same sources with some tables already written."""
@@ -114,7 +114,24 @@ def refresh_tables(tables: TableSet, out: str) -> TableSet:
     return tables.with_tables(**written)
 
 
+# --- fixed values: how SQL users know the tables -----------------------------
+# These keep their plain name; every other derived table is also a ..._vw view.
+PLAIN_NAMES = (
+    *SOURCE_TABLES,
+    *STATIC_SCHEMAS,
+    "stopwords",
+    "emoji_text_map",
+    "contact_group_names",
+    "contacts_user",
+    "message_user",
+    "message_tokens",
+    *quality.CHECKS,
+)
+
+
 def register_views(tables: Mapping[str, DataFrame]) -> None:
-    """Expose every table under its name to Spark SQL."""
+    """Expose every table under its name, and views under name_vw, to Spark SQL."""
     for name in tables:
         tables[name].createOrReplaceTempView(name)
+        if name not in PLAIN_NAMES:
+            tables[name].createOrReplaceTempView(f"{name}_vw")

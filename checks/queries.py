@@ -984,7 +984,7 @@ def _(t):
     needed = ("daily_summary_contact",)
     register_views({name: t[name] for name in needed})
     return t.spark.sql(
-        """SELECT contact_name, sum(messages) AS messages, sum(tokens) AS words FROM daily_summary_contact
+        """SELECT contact_name, sum(messages) AS messages, sum(tokens) AS words FROM daily_summary_contact_vw
            WHERE contact_name IS NOT NULL GROUP BY contact_name"""
     )
 

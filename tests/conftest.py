@@ -9,8 +9,7 @@ from chatlens.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    folder = tmp_path_factory.mktemp("checkpoints")
-    session = local_session("tests", cores="4", **{"spark.checkpoint.dir": str(folder)})
+def spark():
+    session = local_session("tests", cores="4")
     yield session
     session.stop()

@@ -1,6 +1,7 @@
 """Sources, sinks, the address book and the full refresh."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,8 @@ def test_refresh_equals_lazy_tables(spark, tmp_path):
         ]
     register_views(written)
     assert spark.sql("SELECT count(*) FROM message_user").first()[0] == written["message_user"].count()
+    assert spark.sql("SELECT max(messages) FROM summary_vw").first()[0] == written["message_user"].count()
+    assert not spark.catalog.tableExists("message_user_vw")
     ordered = [row.message_id for row in for_display("message_user", written["message_user"]).collect()]
     assert ordered == sorted(ordered, reverse=True)
 
@@ -206,6 +209,51 @@ def test_gaps_are_filled_only_for_one_series(spark):
     ]
 
 
+def label(day, granularity):
+    if granularity == "Week":
+        return day + dt.timedelta(days=6 - day.weekday())
+    return day.replace(day=1) if granularity == "Month" else day.replace(month=1, day=1)
+
+
+def after(period, granularity):
+    if granularity == "Week":
+        return period + dt.timedelta(days=7)
+    months = period.year * 12 + period.month - 1 + (1 if granularity == "Month" else 12)
+    return dt.date(months // 12, months % 12 + 1, 1)
+
+
+@pytest.mark.parametrize("granularity", ["Week", "Month", "Year"])
+def test_resampling_against_brute_force(spark, granularity):
+    draw = random.Random(granularity)
+    days = {dt.date(2019, 11, 3) + dt.timedelta(days=draw.randrange(1500)) for _ in range(40)}
+    daily = [(day, draw.choice("ABC"), draw.randrange(9)) for day in sorted(days)] + [(None, "A", 5)]
+    df = spark.createDataFrame(daily, "dt date, contact_name string, display_message_count long")
+
+    def totals(rows_):
+        sums = {}
+        for day, _, n in rows_:
+            if day:
+                sums[label(day, granularity)] = sums.get(label(day, granularity), 0) + n
+        period, filled = min(sums), []
+        while period <= max(sums):
+            filled.append((period, sums.get(period, 0)))
+            period = after(period, granularity)
+        return filled, sums
+
+    everyone, seen = totals(daily)
+    assert rows(insights.resample(df.drop("contact_name"), granularity)) == everyone
+    own, _ = totals([row for row in daily if row[1] == "A"])
+    expected = [(day, n, seen[day], n / seen[day] if seen[day] else None) for day, n in own if day in seen]
+    assert [tuple(r) for r in insights.contact_share(df, "A", granularity).orderBy("dt").collect()] == expected
+
+
+def test_only_small_sources_are_spread(spark, tmp_path):
+    few = spark.range(10).coalesce(1)
+    assert tables.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 10, 1, 50)
+    assert tables.spread(many) is many
+
+
 def test_ranks_and_running_totals(spark):
     daily = spark.createDataFrame(
         [(dt.date(2024, 1, d), name, n) for d, name, n in ((1, "A", 1), (2, "A", 1), (3, "B", 5), (3, "C", 5), (4, None, 9))],
