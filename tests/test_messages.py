@@ -165,3 +165,38 @@ def test_group_names_and_contact_priority(spark):
         ("+1", "A", "contacts_manual"),
         ("+2", "D", "contacts"),
     }
+
+
+def test_a_hot_chat_is_split_at_the_join(spark):
+    """A third of all links in one chat: the join with the chats is split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        n = 60_000
+        links = spark.range(n).selectExpr(
+            "IF(id % 3 = 0, 1, id % 500) AS chat_id", "id AS message_id", "id AS message_date"
+        )
+        chat = spark.range(500).selectExpr("id AS ROWID", "concat('+', id) AS chat_identifier")
+        names = spark.range(500).selectExpr("concat('+', id) AS chat_identifier", "concat('N', id) AS contact_name")
+        message = spark.range(n).selectExpr(
+            "id AS ROWID", "concat('g', id) AS guid", "id AS date", "'hi' AS text", "0 AS associated_message_type",
+            "CAST(NULL AS STRING) AS balloon_bundle_id", "'SMS' AS service", "1 AS is_from_me",
+            "IF(id % 3 = 0, 'g7', NULL) AS thread_originator_guid", "0 AS cache_has_attachments",
+            "0 AS was_data_detected",
+        )
+        built = messages.message_user(message, chat, links, names).groupBy("contact_name").count()
+        counts = {row.contact_name: row["count"] for row in built.collect()}
+        assert sum(counts.values()) == n
+        assert counts["N1"] == sum(1 for i in range(n) if i % 3 == 0 or i % 500 == 1)
+        assert "skew=true" in built._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
