@@ -39,7 +39,7 @@ SAMPLE = [
 
 
 def test_names_agree():
-    assert list(QUERIES) == list(CHECKS)
+    assert set(CHECKS) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", list(QUERIES) if os.environ.get("CHATLENS_ALL") else SAMPLE)
