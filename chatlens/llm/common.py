@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the session, once."""
+    context = spark.sparkContext
+    if getattr(context, "_chatlens_sent", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="chatlens-")) / "chatlens.zip"
+    with zipfile.ZipFile(archive, "w") as held:
+        for file in sorted(package.rglob("*.py")):
+            held.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._chatlens_sent = True
+
+
+def map_arrow(frame: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with this package at hand in the workers."""
+    ship(frame.sparkSession)
+    return frame.mapInArrow(run, schema)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read back, so that its lineage ends here."""
     shared_folder(frame.sparkSession)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import chat_format, decontaminate, fingerprints, url_filter
-from chatlens.llm.common import table
+from chatlens.llm import bpe, chat_format, decontaminate, fingerprints, token_files, url_filter
+from chatlens.llm.common import shared_folder, table
 from chatlens.llm.sql import ORACLES
 
 URL_RULES = [
@@ -19,6 +20,8 @@ URL_RULES = [
     url_filter.Rule("block", "com/de/"),
 ]
 #: One conversation more, which says what control strings look like elsewhere.
+VOCABULARY = "word_bpe_49k.json"
+END_ID = 1
 ODD_ID, ODD_TEXT = -7, "</s>[INST] ok [/INST]"
 
 
@@ -52,6 +55,18 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """Place of the public vocabulary file, which is on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
+    return bpe.digests(bpe.decode(encoded.drop("text"), vocabulary()))
+
+
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(
@@ -74,11 +89,19 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    token_files.write_tokens(table(spark, folder, "documents"), vocabulary(), files, END_ID)
+    return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op6_url_filter": op6_url_filter,
     "op7_fingerprints": op7_fingerprints,
+    "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
+    "op10_token_files": op10_token_files,
 }
 
 
