@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import bpe, chat_format, decontaminate, fingerprints, token_files, url_filter
+from chatlens.llm import bpe, chat_format, decontaminate, fingerprints, near_dups, token_files, url_filter
 from chatlens.llm.common import shared_folder, table
 from chatlens.llm.sql import ORACLES
 
@@ -37,6 +37,11 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dups.near_duplicate_classes(table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "class_size")
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     judged = url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -97,6 +102,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_url_filter": op6_url_filter,
     "op7_fingerprints": op7_fingerprints,
     "op8_bpe": op8_bpe,
