@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import bpe, chat_format, decontaminate, fingerprints, near_dups, token_files, url_filter
+from chatlens.llm import bpe, chat_format, decontaminate, fingerprints, near_dups, quality, token_files, url_filter
 from chatlens.llm.common import shared_folder, table
 from chatlens.llm.sql import ORACLES
 
@@ -25,6 +25,31 @@ END_ID = 1
 ODD_ID, ODD_TEXT = -7, "</s>[INST] ok [/INST]"
 
 
+def held_out(parts: int, part: int):
+    """Whether a document's labels are kept from training."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == part, F.lit(False))
+
+
+def labelled(spark: SparkSession, folder: str, name: str, parts: int, part: int) -> DataFrame:
+    """(doc_id, label) of the labels that training may see."""
+    return table(spark, folder, "labels").where(~held_out(parts, part)).select("doc_id", F.col(name).alias("label"))
+
+
+QUALITY_FOLD, QUALITY_LIMIT = (4, 2), 0.7
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    trees = quality.fit(documents, labelled(spark, folder, "quality", *QUALITY_FOLD))
+    scored = quality.score(documents, trees, ["doc_id"])
+    return scored.select(
+        "doc_id",
+        held_out(*QUALITY_FOLD).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_LIMIT).cast("int").alias("predicted"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -101,6 +126,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_url_filter": op6_url_filter,
