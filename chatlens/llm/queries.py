@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import bpe, chat_format, decontaminate, fingerprints, near_dups, quality, token_files, url_filter
+from chatlens.llm import bpe, chat_format, decontaminate, fingerprints, near_dups, quality, token_files, toxicity, url_filter
 from chatlens.llm.common import shared_folder, table
 from chatlens.llm.sql import ORACLES
 
@@ -50,6 +50,21 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TOXIC_FOLD, TOXIC_LIMIT = (5, 0), 0.5
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    tagger = toxicity.fit(documents, labelled(spark, folder, "toxic", *TOXIC_FOLD))
+    return toxicity.tag(documents, tagger, ["doc_id"]).select(
+        "doc_id",
+        held_out(*TOXIC_FOLD).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_LIMIT).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -127,6 +142,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_url_filter": op6_url_filter,
