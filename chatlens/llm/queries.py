@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import bpe, chat_format, decontaminate, fingerprints, near_dups, quality, token_files, toxicity, url_filter
+from chatlens.llm import bpe, chat_format, decontaminate, fingerprints, near_dups, quality, suffix_dedup, token_files, toxicity, url_filter
 from chatlens.llm.common import shared_folder, table
 from chatlens.llm.sql import ORACLES
 
@@ -65,6 +65,11 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -143,6 +148,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_url_filter": op6_url_filter,
