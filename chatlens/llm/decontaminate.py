@@ -152,6 +152,6 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents``, all columns, whose text holds no benchmark window."""
-    found = find_contamination(documents, benchmark).where("n_hit > 0").select("text_key").distinct()
-    key = F.md5(F.coalesce("text", F.lit("")))
-    return documents.join(found, key == F.col("text_key"), "left_anti")
+    found = find_contamination(documents, benchmark).where("n_hit > 0")
+    found = found.select(F.col("text_key").alias("__text_key")).distinct()
+    return documents.join(found, F.md5(F.coalesce("text", F.lit(""))) == F.col("__text_key"), "left_anti")

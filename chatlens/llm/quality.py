@@ -205,11 +205,11 @@ def fit(documents: DataFrame, labels: DataFrame) -> Trees:
     return grow(np.array(held.statistics.tolist(), float).reshape(shape), held.label.to_numpy(float))
 
 
-def score(documents: DataFrame, trees: Trees, columns: list[str] | None = None) -> DataFrame:
-    """Adds ``score``, 0 to 1, to ``columns`` (all by default), from the text alone.
+def score(documents: DataFrame, trees: Trees, columns: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Adds the column ``name``, 0 to 1, to ``columns`` (all by default), from the text alone.
 
     A null text is an empty one, whose statistics are all 0.  Repeated rows
-    stay; a column named score is replaced; an empty table gives none.
+    stay; a column of that name is replaced; an empty table gives none.
     """
     made = lambda x: pa.array(trees.score(x), pa.float64())
-    return _mapped(documents, columns or documents.columns, T.StructField("score", T.DoubleType()), made)
+    return _mapped(documents, columns or documents.columns, T.StructField(name, T.DoubleType()), made)
