@@ -127,7 +127,7 @@ class Trees:
 def grow(rows: np.ndarray, labels: np.ndarray) -> Trees:
     """Boosts TREES trees on the logistic loss; without rows of both labels the score is that of the one label there is.
 
-    No labelled rows at all give a score of 1: nothing speaks against a text.
+    No labelled rows at all give a score of nearly 1: nothing speaks against a text.
     """
     inner = 2**DEPTH - 1
     flat = Trees(0.0, np.zeros((TREES, inner), np.int64), np.full((TREES, inner), np.inf), np.zeros((TREES, inner + 1)))
