@@ -68,6 +68,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def computed_once(value: Column) -> Column:
+    """The value as a generator's output.
+
+    Projections are not merged across a generator, so whatever uses the value
+    for each element of an array finds it made, and does not make it again.
+    """
+    return F.explode(F.array(value))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text as an array: A-Z lower-cased, runs of 0-9, a-z and all that is not ASCII; null has none."""
     lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

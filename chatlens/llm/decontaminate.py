@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import cut, words_of
+from chatlens.llm.common import computed_once, cut, words_of
 
 WINDOW = 10
 GRAM = 5
@@ -56,14 +56,19 @@ def _winnowed(rows: DataFrame, k: int, window: int) -> DataFrame:
     return least.select("key", F.explode(F.array_compact(kept)).alias("f")).select("key", "f.gram", "f.at")
 
 
+def _joined(start: Column, size: Column) -> Column:
+    """``size`` of the array ``words`` from ``start`` on, with blanks between; slice() would copy the whole array."""
+    return F.concat_ws(" ", *[F.when(size > j, F.get(F.col("words"), start + j)) for j in range(WINDOW)])
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """Distinct rows (window, size, item_id): the windows of each item as their words with blanks between."""
-    words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    words = benchmark.select("item_id", computed_once(words_of(F.col("text"))).alias("words")).where(F.size("words") > 0)
     size = F.least(F.size("words"), F.lit(WINDOW))
-    starts = F.explode(F.sequence(F.lit(1), F.size("words") - size + 1))
+    starts = F.explode(F.sequence(F.lit(0), F.size("words") - size))
     return (
         words.select("item_id", "words", size.alias("size"), starts.alias("start"))
-        .select(F.array_join(F.slice("words", F.col("start"), F.col("size")), " ").alias("window"), "size", "item_id")
+        .select(_joined(F.col("start"), F.col("size")).alias("window"), "size", "item_id")
         .distinct()
     )
 
@@ -90,7 +95,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = documents.select("doc_id", F.md5(text).alias("key"), "text")
     windows = cut(benchmark_windows(benchmark))
     sizes = sorted(row.size for row in windows.select("size").distinct().collect())  # at most WINDOW values
-    words = texts.select("key", words_of(F.col("text")).alias("words"))
+    words = texts.select("key", computed_once(words_of(F.col("text"))).alias("words"))
     starts = texts.select("key", F.lit(0).alias("start"), F.lit(0).alias("size")).limit(0)
     for k, own in ((GRAM, [WINDOW]), (2, range(2, WINDOW)), (1, [1])):
         if not (own := [size for size in own if size in sizes]):
@@ -109,13 +114,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     starts = starts.groupBy("key").agg(F.collect_set(F.struct("start", "size")).alias("starts"))
     places = F.transform(
         F.filter("starts", lambda s: (s["start"] >= 0) & (s["start"] + s["size"] <= F.size("words"))),
-        lambda s: F.struct(
-            s["start"].alias("start"), F.array_join(F.slice(F.col("words"), s["start"] + 1, s["size"]), " ").alias("window")
-        ),
+        lambda s: F.struct(s["start"].alias("start"), _joined(s["start"], s["size"]).alias("window")),
     )
     rows = cut(
         texts.join(starts, "key", "left")
-        .select("doc_id", "key", words_of(F.col("text")).alias("words"), "starts")
+        .select("doc_id", "key", computed_once(words_of(F.col("text"))).alias("words"), "starts")
         .select("doc_id", "key", F.size("words").cast("bigint").alias("n_words"), places.alias("places"))
     )
     hits = (
