@@ -17,7 +17,6 @@ from chatlens.operators.tokens import is_text_message, one_contact
 from chatlens.schemas import CONTACT_TYPES, MEASURES, OVERALL_TYPES, TAPBACK_LABELS
 
 DISPLAY_COUNT = "display_message_count"
-ROWS_SHOWN = 20
 BUSIEST_DAYS = 10
 
 
@@ -263,11 +262,30 @@ def service_totals(summary: DataFrame) -> DataFrame:
 # --- people ---------------------------------------------------------------------
 
 
-def _ranked(totals: DataFrame, measure: str, n: int) -> DataFrame:
-    """The n highest rows with their rank; the window sees only those n rows."""
-    highest = totals.orderBy(F.desc(measure), "contact_name").limit(n)
-    order = Window.orderBy(F.desc(measure), "contact_name")
-    return highest.withColumn("rank", F.row_number().over(order))
+def _ranked(totals: DataFrame, measure: str, n: int | None) -> DataFrame:
+    """The n highest rows with their rank, or all rows.
+
+    A complete rank is a sort by ranges: the place of a row in its range plus
+    the rows of the ranges before, of which there are as many as shuffle
+    partitions.  The window of a top n sees only those n rows.
+    """
+    order = [F.desc(measure), F.asc("contact_name")]
+    if n is not None:
+        highest = totals.orderBy(*order).limit(n)
+        return highest.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    ranges = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The id of a row is its range, shifted by 33 bits, and its place there.
+    placed = (
+        totals.repartitionByRange(ranges, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("place", F.monotonically_increasing_id())
+        .withColumn("range", F.shiftright("place", 33))
+    )
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(starts), "range").select("contact_name", measure, rank.cast("int").alias("rank"))
 
 
 def _contact_totals(df: DataFrame, measure: str, group_chat_map: DataFrame, group_chats: bool) -> DataFrame:
@@ -276,19 +294,19 @@ def _contact_totals(df: DataFrame, measure: str, group_chat_map: DataFrame, grou
     return totals.join(kind, "contact_name", "left_semi")
 
 
-def sms_ranking(summary_contact_from_who: DataFrame, group_chat_map: DataFrame, n: int = ROWS_SHOWN) -> DataFrame:
-    """(contact_name, sms, rank): who still sends SMS, group chats aside."""
+def sms_ranking(summary_contact_from_who: DataFrame, group_chat_map: DataFrame, n: int | None = None) -> DataFrame:
+    """(contact_name, sms, rank): who still sends SMS, group chats aside; the first n or all."""
     totals = _contact_totals(summary_contact_from_who, "sms", group_chat_map, group_chats=False)
     return _ranked(totals.where(F.col("sms") > 0), "sms", n)
 
 
-def favourite_contacts(daily_contact: DataFrame, group_chat_map: DataFrame, n: int = ROWS_SHOWN) -> DataFrame:
-    """(contact_name, display_message_count, rank), group chats aside."""
+def favourite_contacts(daily_contact: DataFrame, group_chat_map: DataFrame, n: int | None = None) -> DataFrame:
+    """(contact_name, display_message_count, rank), group chats aside; the first n or all."""
     return _ranked(_contact_totals(daily_contact, DISPLAY_COUNT, group_chat_map, group_chats=False), DISPLAY_COUNT, n)
 
 
-def favourite_group_chats(daily_contact: DataFrame, group_chat_map: DataFrame, n: int = ROWS_SHOWN) -> DataFrame:
-    """(contact_name, display_message_count, rank) of group chats."""
+def favourite_group_chats(daily_contact: DataFrame, group_chat_map: DataFrame, n: int | None = None) -> DataFrame:
+    """(contact_name, display_message_count, rank) of group chats; the first n or all."""
     return _ranked(_contact_totals(daily_contact, DISPLAY_COUNT, group_chat_map, group_chats=True), DISPLAY_COUNT, n)
 
 
@@ -355,10 +373,10 @@ def side_by_side(daily_contact_from_who: DataFrame, contact: str) -> DataFrame:
     )
 
 
-def chat_history(message_user: DataFrame, contact: str, start: dt.date, stop: dt.date, n: int = ROWS_SHOWN) -> DataFrame:
-    """(time, them, me): the newest text messages with a contact."""
+def chat_history(message_user: DataFrame, contact: str, start: dt.date, stop: dt.date, n: int) -> DataFrame:
+    """(time, them, me): the n newest text messages with a contact."""
     clock = F.lower(F.date_format("ts", "MMM d ''yy 'at' hh:mm:ss a"))
-    time = F.concat(F.upper(F.substring(clock, 1, 1)), F.substring(clock, 2, 100))
+    time = F.concat(F.upper(F.substring(clock, 1, 1)), F.substr(clock, F.lit(2)))
     shown = in_range(message_user.where(is_text_message() & F.col("is_from_me").isNotNull()), start, stop, contact)
     newest = shown.select("message_id", "ts", "text", "is_from_me").orderBy(F.desc("ts"), F.desc("message_id")).limit(n)
     return newest.select(
