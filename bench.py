@@ -27,7 +27,7 @@ RUNS = 3
 def headline(spark, folder):
     """Query name -> function that builds its frame."""
     chats = Tables(spark, folder, "conversations")
-    texts = Tables(spark, folder, "documents")
+    texts = Tables(spark, folder, "documents", partitions=spark.sparkContext.defaultParallelism)
     events = Tables(spark, folder, "events")
 
     def favourites():
@@ -44,7 +44,9 @@ def headline(spark, folder):
             texts["message_tokens_unnest"], texts["stopwords"], texts["emoji_text_map"]
         ),
         "emoji_map": lambda: texts["message_emoji_map"],
-        "word_frequency": lambda: tokens.word_frequency(texts["contact_token_usage_from_who"], texts["stopwords"]),
+        "word_frequency": lambda: tokens.word_frequency(
+            texts["contact_token_usage_from_who"], texts["stopwords"], limit=tokens.WORD_CLOUD_SIZE
+        ),
         "daily_facts": lambda: events["daily_summary_contact_from_who"],
         "daily_rollup": lambda: events["daily_summary"],
         "all_rollups": lambda: summaries.rollup_summary(events["daily_summary_contact_from_who"]),

@@ -169,9 +169,9 @@ def word_frequency(
     stopwords: DataFrame,
     contact: str | None = None,
     from_me: bool | None = True,
-    limit: int = WORD_CLOUD_SIZE,
+    limit: int | None = None,
 ) -> DataFrame:
-    """(token, usages): the most used words, as a word cloud shows them."""
+    """(token, usages), most used first: all words, or the ``limit`` that a word cloud shows."""
     chosen = one_side(one_contact(usage_from_who, contact), from_me)
     counted = (
         chosen.select(words.bare_word(F.col("token")).alias("token"), "usages")
@@ -179,7 +179,8 @@ def word_frequency(
         .groupBy("token")
         .agg(F.sum("usages").alias("usages"))
     )
-    return _without(counted, stopwords, BARE_CONTRACTIONS).orderBy(F.desc("usages"), "token").limit(limit)
+    ordered = _without(counted, stopwords, BARE_CONTRACTIONS).orderBy(F.desc("usages"), "token")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def favourite_words_by_length(

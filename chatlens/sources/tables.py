@@ -13,30 +13,26 @@ from chatlens.schemas import SOURCE_SCHEMAS, SOURCE_TABLES, STATIC_SCHEMAS
 
 
 def read_source(
-    spark: SparkSession, name: str, path: str, source_format: str = "parquet", **options: str
+    spark: SparkSession,
+    name: str,
+    path: str,
+    source_format: str = "parquet",
+    partitions: int | None = None,
+    **options: str,
 ) -> DataFrame:
     """One catalogued source table.
 
     Tables the operators use are read with their fixed schema; the others keep
-    the schema found in the files.
+    the schema found in the files.  ``partitions`` deals the rows out anew, for
+    sources of few files.
     """
     if name not in SOURCE_TABLES:
         raise ValueError(f"{name!r} is not a catalogued source table")
     reader = spark.read.format(source_format).options(**options)
     if name in SOURCE_SCHEMAS:
         reader = reader.schema(SOURCE_SCHEMAS[name])
-    return reader.load(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A source with fewer file splits than cores, dealt out over all cores.
-
-    Text work is bound by the processor, and one small file would keep it on
-    one core.  Sources with enough splits, so all large ones, come back as
-    they are, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    df = reader.load(path)
+    return df if partitions is None else df.repartition(partitions)
 
 
 def check_catalog(spark: SparkSession, present: Iterable[str], expected: Iterable[str] = SOURCE_TABLES) -> DataFrame:
@@ -74,7 +70,7 @@ def read_static_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A user-kept CSV table with a header; no file means an empty table."""
     schema = STATIC_SCHEMAS[name]
     try:
-        raw = spark.read.csv(path, header=True, escape='"')
+        raw = spark.read.csv(path, header=True, escape='"', multiLine=True)
     except AnalysisException as error:
         if path_is_missing(error):
             return empty_table(spark, schema)
