@@ -101,7 +101,9 @@ def message_user(message: DataFrame, chat: DataFrame, chat_message_join: DataFra
     cleaned = message.select(
         F.col("ROWID").alias("message_id"),
         message_ts(F.col("date")).alias("ts"),
-        clean_text(F.col("text")).alias("words"),
+        # A generator's output: filters on what is made from the words stop
+        # here, and do not bring the whole cleaning along.
+        F.inline(F.array(F.struct(clean_text(F.col("text")).alias("words")))),
         "associated_message_type",
         "balloon_bundle_id",
         "service",
