@@ -28,9 +28,13 @@ def people(person: DataFrame) -> DataFrame:
 
 
 def _owned(person: DataFrame, details: DataFrame, column: str, name: str) -> DataFrame:
-    """Names joined with one kind of detail; a missing detail becomes ''."""
+    """Names joined with one kind of detail; a missing detail becomes ''.
+
+    People without any name are left out: they are no contact, and all of them
+    would meet under one key.
+    """
     owned = details.select(F.col("ZOWNER").alias("owner"), F.coalesce(column, F.lit("")).alias(name))
-    return people(person).join(owned, "owner").drop("owner")
+    return people(person).where(full_name() != "").join(owned, "owner").drop("owner")
 
 
 def identifiers(person: DataFrame, email: DataFrame, phone: DataFrame) -> DataFrame:
@@ -83,7 +87,7 @@ def contact_map(identifiers: DataFrame, ignored_names: Sequence[str] = IGNORED_N
     """
     details = identifiers.select(
         full_name().alias("contact_name"), "identifier_type", F.explode(split_values("value")).alias("detail")
-    ).where(~F.col("contact_name").isin(*ignored_names))
+    ).where((F.col("contact_name") != "") & ~F.col("contact_name").isin(*ignored_names))
     spellings = F.when(F.col("identifier_type") == "phone", phone_spellings(F.col("detail"))).otherwise(
         F.array("detail")
     )
@@ -131,6 +135,7 @@ def contact_definitions(group_names: DataFrame, manual: DataFrame, contacts: Dat
         defined(group_names, "group_name", "contact_group_names")
         .unionByName(defined(manual, "contact_name", "contacts_manual"))
         .unionByName(defined(contacts, "contact_name", "contacts"))
+        .where("contact_name IS NULL OR trim(contact_name) <> ''")
     )
 
 
