@@ -39,77 +39,39 @@ STOPWORDS = tuple(
 CONTRACTIONS = ("i'm", "i'd", "i've", "i'll", "'s")
 BARE_CONTRACTIONS = tuple(word.replace("'", "") for word in CONTRACTIONS)
 
-# --- fixed values: Unicode blocks of emoji (first and last code point) --------
-EMOJI_BLOCKS = (
-    (0x231A, 0x231B),
-    (0x23E9, 0x23F3),
-    (0x2600, 0x26FF),
-    (0x2702, 0x27B0),
-    (0x2B05, 0x2B07),
-    (0x2B1B, 0x2B1C),
-    (0x2B50, 0x2B50),
-    (0x2B55, 0x2B55),
-    (0x1F300, 0x1F5FF),
-    (0x1F600, 0x1F64F),
-    (0x1F680, 0x1F6FF),
-    (0x1F7E0, 0x1F7EB),
-    (0x1F90C, 0x1F9FF),
-    (0x1FA70, 0x1FAFF),
-)
-SKIN_TONES = (0x1F3FB, 0x1F3FF)
-TONED_BLOCKS = (
-    (0x261D, 0x261D),
-    (0x26F9, 0x26F9),
-    (0x270A, 0x270D),
-    (0x1F385, 0x1F385),
-    (0x1F3C2, 0x1F3C4),
-    (0x1F3C7, 0x1F3C7),
-    (0x1F3CA, 0x1F3CC),
-    (0x1F442, 0x1F443),
-    (0x1F446, 0x1F450),
-    (0x1F466, 0x1F478),
-    (0x1F47C, 0x1F47C),
-    (0x1F481, 0x1F483),
-    (0x1F485, 0x1F487),
-    (0x1F4AA, 0x1F4AA),
-    (0x1F590, 0x1F590),
-    (0x1F595, 0x1F596),
-    (0x1F645, 0x1F647),
-    (0x1F64B, 0x1F64F),
-    (0x1F6B4, 0x1F6B6),
-    (0x1F90C, 0x1F90C),
-    (0x1F90F, 0x1F90F),
-    (0x1F918, 0x1F91F),
-    (0x1F926, 0x1F926),
-    (0x1F930, 0x1F939),
-    (0x1F9B5, 0x1F9B6),
-    (0x1F9D1, 0x1F9DD),
-)
-REGIONAL_INDICATORS = (0x1F1E6, 0x1F1FF)
-EMOJI_PRESENTATION = 0xFE0F
+# The emoji that Unicode recommends for general interchange, and the mark that
+# asks for the picture and is often left out.
+EMOJI_PROPERTY = "[:RGI_Emoji:]"
+EMOJI_PRESENTATION = "\ufe0f"
+JOINER = "\u200d"
 
 
 def _plain(*parts: str) -> str:
     return ":" + "_".join(parts).lower().replace(" ", "_").replace("-", "_") + ":"
 
 
-def _emoji_rows() -> Iterator[tuple[str, str]]:
-    def characters(blocks):
-        return (chr(code) for first, last in blocks for code in range(first, last + 1))
+def _character_name(char: str) -> str:
+    name = unicodedata.name(char, f"u{ord(char):x}")
+    return name.removeprefix("EMOJI MODIFIER ").removeprefix("REGIONAL INDICATOR SYMBOL LETTER ").removeprefix("TAG ")
+
 
-    for char in characters(EMOJI_BLOCKS):
-        name = unicodedata.name(char, "")
-        if name:
-            yield char, _plain(name)
-            yield char + chr(EMOJI_PRESENTATION), _plain(name)
-    for char in characters(TONED_BLOCKS):
-        for tone in characters((SKIN_TONES,)):
-            tone_name = unicodedata.name(tone).removeprefix("EMOJI MODIFIER ")
-            yield char + tone, _plain(unicodedata.name(char), tone_name)
-    for first in characters((REGIONAL_INDICATORS,)):
-        for second in characters((REGIONAL_INDICATORS,)):
-            letters = (unicodedata.name(half)[-1] for half in (first, second))
-            yield first + second, _plain("flag", *letters)
+def _emoji_rows(spark: SparkSession) -> Iterator[tuple[str, str]]:
+    """(emoji, name), also of the form without presentation marks where that is no plain ASCII character.
+
+    The sequences come from the Unicode data that Spark itself ships; names are
+    those of the characters.
+    """
+    jvm = spark._jvm
+    found = jvm.com.ibm.icu.text.UnicodeSet(EMOJI_PROPERTY)
+    seen = set()
+    for sequence in jvm.java.lang.String.join("\n", found).split("\n"):
+        shown = [c for c in sequence if c not in (EMOJI_PRESENTATION, JOINER)]
+        flag = all("REGIONAL INDICATOR" in unicodedata.name(c, "") for c in shown)
+        name = _plain(*["flag"] * flag, *(_character_name(c) for c in shown))
+        for form in (sequence, sequence.replace(EMOJI_PRESENTATION, "")):
+            if form not in seen and not form.isascii():
+                seen.add(form)
+                yield form, name
 
 
 def _literal_table(spark: SparkSession, columns: dict[str, list[str]]) -> DataFrame:
@@ -128,12 +90,10 @@ def stopword_dim(spark: SparkSession, source: DataFrame | None = None) -> DataFr
 def emoji_dim(spark: SparkSession, source: DataFrame | None = None) -> DataFrame:
     """(emoji, plain_text), one row per emoji.
 
-    Without a table of the caller's, the rows come from a rule: every named
-    character of the emoji blocks (with and without the presentation mark),
-    skin tones after the characters that take one, and flag letter pairs.
-    Joined sequences (families, professions) need the caller's table.
+    Without a table of the caller's, the rows are Unicode's recommended emoji:
+    single characters, keycaps, skin tones, flags and joined sequences.
     """
     if source is not None:
         return check_columns(source, DIMENSION_SCHEMAS["emoji_text_map"], "emoji_text_map")
-    pictures, names = zip(*_emoji_rows())
+    pictures, names = zip(*_emoji_rows(spark))
     return _literal_table(spark, {"emoji": list(pictures), "plain_text": list(names)})
