@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +32,17 @@ MANIFEST = "_datasets"
 
 
 def materialise(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
-    """Replace the Parquet table at ``path`` and return it as read back.
+    """Write a new version of the Parquet table at ``path`` and return it as read back.
 
-    With ``partition_by`` the rows are first rebalanced on that column: small
+    Each version has a folder of its own, so whoever reads an older one, the
+    written plan among them, keeps its files.  With ``partition_by`` the rows are first rebalanced on that column: small
     values share a file, a hot value is split over several tasks.
     """
     writer = df
     if partition_by:
         writer = df.hint("rebalance", F.col(partition_by))
-    writer = writer.write.mode("overwrite")
+    path = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
+    writer = writer.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
@@ -48,9 +52,11 @@ def materialise(df: DataFrame, path: str, partition_by: str | None = None) -> Da
 
 
 def new_rows(df: DataFrame, existing: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """Rows whose keys the existing table does not hold yet."""
+    """Rows whose keys the existing table does not hold yet, one of each key; null keys count as equal."""
     keys = list(keys)
-    return df.join(existing.select(*keys), keys, "left_anti")
+    known = existing.select(*(F.col(key).alias(f"known_{key}") for key in keys)).distinct()
+    same = reduce(lambda a, b: a & b, (F.col(key).eqNullSafe(F.col(f"known_{key}")) for key in keys))
+    return df.dropDuplicates(keys).join(known, same, "left_anti")
 
 
 def append_new_rows(df: DataFrame, path: str, keys: Iterable[str]) -> None:
@@ -60,11 +66,21 @@ def append_new_rows(df: DataFrame, path: str, keys: Iterable[str]) -> None:
     except AnalysisException as error:
         if not path_is_missing(error):
             raise
+        df = df.dropDuplicates(list(keys))
     df.write.mode("append").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    """A CSV folder that keeps blanks at the ends of values, and '' apart from null (written as nothing)."""
+    df.write.mode("overwrite").csv(
+        path,
+        header=True,
+        escape='"',
+        emptyValue='""',
+        nullValue="",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def dataset_view(df: DataFrame) -> DataFrame:
