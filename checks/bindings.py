@@ -12,16 +12,21 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatlens.sources.tables import spread
 
 GIVEN_TABLES = ("conversations", "documents", "events", "customer", "nation")
 
-# One row per turn with its ids and the case it plays.
+# Emoji of every kind that the messages hold, and what looks like one: a star,
+# and two letters that name no region.
+PLANTED_EMOJI = ("👍", "👍🏽", "1\ufe0f\u20e3", "👨\u200d👩\u200d👧", "🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "🇫🇷")
+NO_EMOJI = ("★", "🇦🇦")
+
+# One row per turn with its ids and the case it plays.  Some conversations lie
+# up to three years back.
 TURNS = """
 SELECT conv_id, turn, role, text AS own_text,
        conv_id * 100 + turn AS rid,
        (conv_id * 31 + turn * 17) % 40 AS k,
-       (725760000 + conv_id * 21600 + turn * 60) * 1000000000 + 123456789 AS sent
+       (725760000 + conv_id * 21600 + turn * 60 - CASE WHEN conv_id % 4 = 1 THEN conv_id % 37 * 2246400 ELSE 0 END) * 1000000000 + 123456789 AS sent
 FROM conversations
 """
 
@@ -39,7 +44,7 @@ SELECT rid AS ROWID,
          WHEN 6 THEN CASE WHEN conv_id % 2 = 0 THEN 'Cup Pong' ELSE '8 Ball' END
          WHEN 10 THEN '￼'
          WHEN 12 THEN 'cup pong'
-         WHEN 13 THEN own_text || ' 👍 👍🏽 ok'
+         WHEN 13 THEN own_text || ' {EMOJI_TEXT} ok'
          WHEN 14 THEN '‘It''s’ fine, she''d said “yes”?! 3.14 ' || own_text || ' end?!'
          WHEN 15 THEN '  ￼' || own_text || chr(13) || chr(10) || 'next line  with  gaps '
          WHEN 17 THEN CASE conv_id % 3 WHEN 0 THEN 'Sam EARNED an achievement.'
@@ -76,7 +81,7 @@ SELECT rid AS ROWID,
        CASE WHEN conv_id % 4 = 0 THEN 'chat' || conv_id ELSE NULL END AS cache_roomnames,
        CASE WHEN conv_id % 8 = 0 AND turn IN (0, 3) THEN 'Group ' || conv_id || '-' || turn ELSE NULL END AS group_title
 FROM turns
-"""
+""".replace("{EMOJI_TEXT}", " ".join(PLANTED_EMOJI + NO_EMOJI))
 
 CONVERSATION_IDS = "SELECT DISTINCT conv_id FROM conversations"
 
@@ -113,7 +118,7 @@ SELECT chat_identifier, 'not a person' AS notes FROM chat WHERE ROWID % 21 = 0
 PERSON = """
 SELECT c_custkey AS Z_PK,
        CASE WHEN c_custkey % 9 = 4 THEN NULL WHEN c_custkey % 50 = 7 THEN 'Error' ELSE n_name END AS ZFIRSTNAME,
-       CASE WHEN c_custkey % 50 = 7 THEN NULL ELSE c_name END AS ZLASTNAME,
+       CASE WHEN c_custkey % 50 = 7 OR c_custkey % 45 = 4 THEN NULL ELSE c_name END AS ZLASTNAME,
        c_custkey % 2 AS book
 FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
@@ -225,13 +230,14 @@ FROM d
 class Bound:
     """The shared SQL read by Spark over the tables of one folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, partitions: int | None = None):
         self.spark = spark
         self.folder = folder
+        self.partitions = partitions
 
     def given(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df) if name == "documents" else df
+        return df.repartition(self.partitions) if self.partitions and name == "documents" else df
 
     def sql(self, text: str, **tables: DataFrame) -> DataFrame:
         """Run a shared text; the names after FROM and JOIN are given tables

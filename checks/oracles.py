@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from chatlens.schemas import COUNT_MEASURES, EMOTE_LABELS, EMOTE_MEASURES, MEASURES, TAPBACK_LABELS
-from chatlens.sources.dimensions import EMOJI_BLOCKS, EMOJI_PRESENTATION, REGIONAL_INDICATORS, SKIN_TONES, STOPWORDS, TONED_BLOCKS
+from chatlens.sources.dimensions import STOPWORDS
 from checks import bindings
 
 
@@ -48,10 +48,6 @@ CONDITIONS = {
 COUNTS = ", ".join(f"count(*) FILTER (WHERE {CONDITIONS[m]}) AS {m}" for m in COUNT_MEASURES)
 
 
-def _code_points(blocks) -> str:
-    return " UNION ALL ".join(f"SELECT CAST(unnest(range({first}, {last + 1})) AS INT) AS code" for first, last in blocks)
-
-
 EMOTE_CASES = " ".join(f"WHEN {code} THEN '{label}'" for code, label in EMOTE_LABELS.items())
 
 # Steps shared by all bindings; message_user differs.
@@ -68,15 +64,7 @@ STEPS = {
     "phone": bindings.PHONE,
     "email": bindings.EMAIL,
     "stopwords": f"SELECT unnest([{values(STOPWORDS)}]) AS stopword",
-    "emoji_list": f"""
-        SELECT DISTINCT emoji FROM (
-          SELECT chr(code) AS emoji FROM ({_code_points(EMOJI_BLOCKS)})
-          UNION ALL SELECT chr(code) || chr({EMOJI_PRESENTATION}) FROM ({_code_points(EMOJI_BLOCKS)})
-          UNION ALL SELECT chr(b.code) || chr(t.code)
-                    FROM ({_code_points(TONED_BLOCKS)}) b CROSS JOIN ({_code_points([SKIN_TONES])}) t
-          UNION ALL SELECT chr(b.code) || chr(t.code)
-                    FROM ({_code_points([REGIONAL_INDICATORS])}) b CROSS JOIN ({_code_points([REGIONAL_INDICATORS])}) t
-        )""",
+    "emoji_list": f"SELECT unnest([{values(bindings.PLANTED_EMOJI)}]) AS emoji",
     "contact_group_names": """
         SELECT cache_roomnames AS chat_identifier, group_title AS group_name
         FROM message WHERE cache_roomnames IS NOT NULL AND group_title IS NOT NULL
@@ -240,8 +228,8 @@ def resampled_by(source: str, granularity: str, keys, columns) -> str:
     return f"(SELECT {names}, {period('dt', granularity)} AS dt, {sums} FROM {source} WHERE {known} GROUP BY ALL)"
 
 
-def favourites(n: int, group_chats: bool = False, measure: str = "display_message_count", source: str = "daily_contact_shown") -> str:
-    """The n contacts with most messages and their rank."""
+def favourites(n: int | None, group_chats: bool = False, measure: str = "display_message_count", source: str = "daily_contact_shown") -> str:
+    """The n contacts with most messages, or all, and their rank."""
     return f"""
         (SELECT s.contact_name, {_sum(measure)} AS {measure},
                 CAST(row_number() OVER (ORDER BY sum({measure}) DESC, s.contact_name) AS INT) AS rank
@@ -249,7 +237,7 @@ def favourites(n: int, group_chats: bool = False, measure: str = "display_messag
          WHERE {'g.is_group_chat' if group_chats else 'NOT g.is_group_chat'}
          GROUP BY s.contact_name
          {'HAVING sum(sms) > 0' if measure == 'sms' else ''}
-         ORDER BY sum({measure}) DESC, s.contact_name LIMIT {n})"""
+         ORDER BY sum({measure}) DESC, s.contact_name {f'LIMIT {n}' if n else ''})"""
 
 
 TAPBACK_VALUES = ", ".join(f"({quoted(emote)}, {quoted(label)})" for emote, label in TAPBACK_LABELS.items())

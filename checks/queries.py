@@ -33,9 +33,9 @@ CONTACT_OF = {"conversations": "Contact 5", "events": "User 8", "documents": "sr
 class Tables:
     """All tables of one binding, built on first use."""
 
-    def __init__(self, spark: SparkSession, folder: str, binding: str):
+    def __init__(self, spark: SparkSession, folder: str, binding: str, partitions: int | None = None):
         self.spark, self.binding = spark, binding
-        self.bound = bindings.Bound(spark, folder)
+        self.bound = bindings.Bound(spark, folder, partitions)
         self.contact = CONTACT_OF[binding]
 
     @cached_property
@@ -106,7 +106,7 @@ def table(name: str, check: str | Callable[[str], str], needs: tuple[str, ...] =
 
 BOOK_SQL = """
     people AS (SELECT Z_PK, coalesce(ZFIRSTNAME, '') AS first_name, coalesce(ZLASTNAME, '') AS last_name
-               FROM ({people})),
+               FROM ({people}) WHERE coalesce(ZFIRSTNAME, '') || coalesce(ZLASTNAME, '') <> ''),
     emails AS (SELECT first_name, last_name, string_agg(v, ';' ORDER BY v) AS email
                FROM (SELECT p.*, coalesce(ZADDRESS, '') AS v FROM people p JOIN email e ON p.Z_PK = e.ZOWNER)
                GROUP BY first_name, last_name),
@@ -121,7 +121,7 @@ def book_sql(number: int, select: str) -> str:
 
 PEOPLE_OF_FIRST_BOOK = f"""
     SELECT Z_PK, coalesce(ZFIRSTNAME, '') AS first_name, coalesce(ZLASTNAME, '') AS last_name
-    FROM ({bindings.BOOK_PEOPLE[0]})"""
+    FROM ({bindings.BOOK_PEOPLE[0]}) WHERE coalesce(ZFIRSTNAME, '') || coalesce(ZLASTNAME, '') <> ''"""
 COMPACT = """SELECT coalesce(e.first_name, p.first_name) AS first_name, coalesce(e.last_name, p.last_name) AS last_name,
                     email, phone_number
              FROM emails e FULL JOIN phones p ON e.first_name = p.first_name AND e.last_name = p.last_name"""
@@ -306,23 +306,29 @@ def _(t):
     return tokens.token_dictionary(t["message_tokens_unnest"], t["stopwords"], t["emoji_text_map"], existing=known)
 
 
-def _words_sql(where: str) -> str:
+def _words_sql(where: str, limit: str = "LIMIT 500") -> str:
     return rf"""
         WITH bare AS (SELECT regexp_replace(lower(token), '[^\p{{L}}\p{{N}}_\s]+', '', 'g') AS token, usages
                       FROM usage_from_who WHERE {where})
         SELECT token, {_sum('usages')} AS usages FROM bare
         WHERE token NOT IN ('', 's', 'd', {values(BARE_CONTRACTIONS)}) AND token NOT IN (SELECT stopword FROM stopwords)
-        GROUP BY token ORDER BY usages DESC, token LIMIT 500"""
+        GROUP BY token ORDER BY usages DESC, token {limit}"""
 
 
 @register("word_frequency", _words_sql("is_from_me"), TEXTS)
+def _(t):
+    return tokens.word_frequency(t["contact_token_usage_from_who"], t["stopwords"], limit=tokens.WORD_CLOUD_SIZE)
+
+
+@register("word_frequency_all", _words_sql("is_from_me", ""), TEXTS)
 def _(t):
     return tokens.word_frequency(t["contact_token_usage_from_who"], t["stopwords"])
 
 
 @register("word_frequency_contact", lambda c: _words_sql(f"contact_name = '{c}' AND NOT is_from_me"), TEXTS)
 def _(t):
-    return tokens.word_frequency(t["contact_token_usage_from_who"], t["stopwords"], t.contact, from_me=False)
+    usage = t["contact_token_usage_from_who"]
+    return tokens.word_frequency(usage, t["stopwords"], t.contact, from_me=False, limit=tokens.WORD_CLOUD_SIZE)
 
 
 @register(
@@ -836,19 +842,24 @@ def _(t):
 # --- insights: people ---------------------------------------------------------------------
 
 
-@register("sms_ranking", f"SELECT * FROM {favourites(20, measure='sms', source='daily_contact')}", SUMMARIES)
-def _(t):
-    return insights.sms_ranking(t["summary_contact_from_who"], t["contact_group_chat_map"])
+def _ranking(name: str, n: int | None) -> None:
+    sms = {"measure": "sms", "source": "daily_contact"}
 
+    @register(f"sms_ranking{name}", f"SELECT * FROM {favourites(n, **sms)}", SUMMARIES)
+    def _(t):
+        return insights.sms_ranking(t["summary_contact_from_who"], t["contact_group_chat_map"], n)
 
-@register("favourite_contacts", f"SELECT * FROM {favourites(20)}", SUMMARIES)
-def _(t):
-    return insights.favourite_contacts(t.shown("daily_summary_contact"), t["contact_group_chat_map"])
+    @register(f"favourite_contacts{name}", f"SELECT * FROM {favourites(n)}", SUMMARIES)
+    def _(t):
+        return insights.favourite_contacts(t.shown("daily_summary_contact"), t["contact_group_chat_map"], n)
 
+    @register(f"favourite_group_chats{name}", f"SELECT * FROM {favourites(n, group_chats=True)}", SUMMARIES)
+    def _(t):
+        return insights.favourite_group_chats(t.shown("daily_summary_contact"), t["contact_group_chat_map"], n)
 
-@register("favourite_group_chats", f"SELECT * FROM {favourites(20, group_chats=True)}", SUMMARIES)
-def _(t):
-    return insights.favourite_group_chats(t.shown("daily_summary_contact"), t["contact_group_chat_map"])
+
+_ranking("", 20)
+_ranking("_all", None)
 
 
 SERIES = resampled_by("daily_contact_shown", "Week", ["contact_name"], [SHOWN])
@@ -934,7 +945,7 @@ def _(t):
     SUMMARIES,
 )
 def _(t):
-    return insights.chat_history(t["message_user"], t.contact, START, STOP)
+    return insights.chat_history(t["message_user"], t.contact, START, STOP, 20)
 
 
 # --- sources and sinks, as far as they are frames --------------------------------------------
@@ -947,13 +958,22 @@ def _(t):
 
 @register(
     "new_rows",
-    """SELECT message_id, token FROM token_rows WHERE message_id NOT IN (
-         SELECT message_id FROM message_user WHERE coalesce(is_from_me, FALSE))""",
+    """SELECT nullif(r.token, ',') AS token, m.is_group_chat
+       FROM token_rows r JOIN message_user m ON r.message_id = m.message_id
+       EXCEPT
+       SELECT nullif(r.token, '.'), m.is_group_chat
+       FROM token_rows r JOIN message_user m ON r.message_id = m.message_id WHERE m.is_from_me""",
     TEXTS,
 )
 def _(t):
-    known = t["message_user"].where("is_from_me")
-    return new_rows(t["message_tokens_unnest"].select("message_id", "token"), known, ["message_id"])
+    # Repeated keys in plenty, and null ones on both sides.
+    kinds = t["message_user"].select("message_id", "is_group_chat", "is_from_me")
+    held = t["message_tokens_unnest"].join(kinds, "message_id")
+
+    def keys(rows, missing):
+        return rows.select(F.nullif("token", F.lit(missing)).alias("token"), "is_group_chat")
+
+    return new_rows(keys(held, ","), keys(held.where("is_from_me"), "."), ["token", "is_group_chat"])
 
 
 @register("checked_columns", "SELECT chat_identifier, contact_name FROM contacts_manual")
