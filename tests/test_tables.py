@@ -247,11 +247,14 @@ def test_resampling_against_brute_force(spark, granularity):
     assert [tuple(r) for r in insights.contact_share(df, "A", granularity).orderBy("dt").collect()] == expected
 
 
-def test_only_small_sources_are_spread(spark, tmp_path):
-    few = spark.range(10).coalesce(1)
-    assert tables.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 10, 1, 50)
-    assert tables.spread(many) is many
+def test_complete_ranks_are_those_of_a_sort(spark):
+    draw = random.Random(4)
+    daily = [(dt.date(2024, 1, 1), f"c{k:04}", draw.randrange(50)) for k in range(3000)]
+    df = spark.createDataFrame(daily, "dt date, contact_name string, display_message_count long").repartition(5)
+    kinds = df.select("contact_name", F.lit(False).alias("is_group_chat"))
+    found = {r.contact_name: r["rank"] for r in insights.favourite_contacts(df, kinds).collect()}
+    wanted = sorted(daily, key=lambda r: (-r[2], r[1]))
+    assert found == {name: k + 1 for k, (_, name, _) in enumerate(wanted)}
 
 
 def test_ranks_and_running_totals(spark):
