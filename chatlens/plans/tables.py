@@ -91,7 +91,9 @@ class TableSet(Mapping):
 
 
 # Written by refresh_tables, in this order: all other tables are views of them.
+# Written dimensions let Spark see their size and broadcast them.
 WRITTEN_TABLES = {
+    **dict.fromkeys((*STATIC_SCHEMAS, "stopwords", "emoji_text_map")),
     "contact_group_names": None,
     "contacts_user": None,
     "message_user": "dt",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterable, Mapping
 from functools import reduce
@@ -9,6 +10,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlens.sources.tables import path_is_missing
 
@@ -29,26 +31,42 @@ DASHBOARD_DATASETS = (
 )
 
 MANIFEST = "_datasets"
+CSV_NULL = "\\N"
+VERSIONS = "written bigint, version string"
 
 
 def materialise(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Write a new version of the Parquet table at ``path`` and return it as read back.
 
     Each version has a folder of its own, so whoever reads an older one, the
-    written plan among them, keeps its files.  With ``partition_by`` the rows are first rebalanced on that column: small
+    written plan among them, keeps its files; read_current finds the newest.
+    Old versions are left to the user to remove.  With ``partition_by`` the rows are first rebalanced on that column: small
     values share a file, a hot value is split over several tasks.
     """
     writer = df
     if partition_by:
         writer = df.hint("rebalance", F.col(partition_by))
-    path = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
+    version = f"version-{uuid.uuid4().hex}"
     writer = writer.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    writer.parquet(f"{path}/{version}")
+    done = df.sparkSession.createDataFrame([(time.time_ns(), version)], VERSIONS)
+    done.coalesce(1).write.mode("append").parquet(f"{path}/_versions")
+    return _read_version(df.sparkSession, f"{path}/{version}", df.schema)
+
+
+def _read_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     # The given schema keeps column order and types (a partition column would
     # come last and be guessed from folder names).
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def read_current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest whole version of a table that materialise has written."""
+    versions = spark.read.schema(VERSIONS).parquet(f"{path}/_versions")
+    newest = versions.agg(F.max_by("version", "written")).first()[0]
+    return _read_version(spark, f"{path}/{newest}", schema)
 
 
 def new_rows(df: DataFrame, existing: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -71,13 +89,13 @@ def append_new_rows(df: DataFrame, path: str, keys: Iterable[str]) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A CSV folder that keeps blanks at the ends of values, and '' apart from null (written as nothing)."""
+    """A CSV folder that keeps blanks at the ends of values, and '' apart from null, which is written as CSV_NULL."""
     df.write.mode("overwrite").csv(
         path,
         header=True,
         escape='"',
         emptyValue='""',
-        nullValue="",
+        nullValue=CSV_NULL,
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     )
@@ -99,7 +117,8 @@ def extract_datasets(
     """The named data sets as one Parquet snapshot, reloaded if it exists.
 
     The list of data sets is emptied first and written last, so a snapshot cut
-    short by a failure is not taken for a whole one.
+    short by a failure is not taken for a whole one.  Give the tables that
+    refresh_tables returns: each data set is then a view of what is written.
     """
     names = list(names)
     if not refresh:

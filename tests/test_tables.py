@@ -84,10 +84,47 @@ def test_materialise_and_csv(spark, tmp_path):
     assert back.columns == df.columns and back.dtypes == df.dtypes
     assert sorted(back.collect(), key=lambda r: r.id) == df.collect()
     sinks.write_csv(df.select("id", "t"), f"{tmp_path}/csv")
-    again = spark.read.csv(f"{tmp_path}/csv", header=True, escape='"', schema="id int, t string")
+    again = spark.read.csv(f"{tmp_path}/csv", header=True, escape='"', nullValue=sinks.CSV_NULL, schema="id int, t string")
     assert sorted(again.collect()) == sorted(df.select("id", "t").collect())
 
 
+def test_refreshing_twice_keeps_what_readers_hold(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    first = sinks.materialise(df, f"{tmp_path}/t")
+    second = sinks.materialise(first.where("id = 2"), f"{tmp_path}/t")
+    assert rows(first) == [(1, "a"), (2, "b")] and rows(second) == [(2, "b")]
+    assert rows(sinks.read_current(spark, f"{tmp_path}/t", df.schema)) == [(2, "b")]
+
+
+def test_csv_values_come_back(spark, tmp_path):
+    values = [" padded ", "", None, 'a "b"', "two\nlines", "a,b"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, t string")
+    sinks.write_csv(df, f"{tmp_path}/csv")
+    options = {"header": True, "escape": '"', "multiLine": True, "nullValue": sinks.CSV_NULL, "schema": "id int, t string"}
+    back = spark.read.csv(f"{tmp_path}/csv", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options)
+    assert [r.t for r in back.orderBy("id").collect()] == values
+    notes = tmp_path / "ignored.csv"
+    notes.write_text('chat_identifier,notes\nx,"two\nlines"\n')
+    assert rows(tables.read_static_csv(spark, "contacts_ignored", str(notes))) == [("x", "two\nlines")]
+
+
+def test_appending_repeats_and_null_keys(spark, tmp_path):
+    path = f"{tmp_path}/keys"
+    frame = lambda *words: spark.createDataFrame([(w,) for w in words], "token string")
+    sinks.append_new_rows(frame("a", "a", None, None), path, ["token"])
+    sinks.append_new_rows(frame("a", None, "b", "b"), path, ["token"])
+    assert sorted(str(r.token) for r in spark.read.parquet(path).collect()) == ["None", "a", "b"]
+
+
+def test_text_is_cleaned_once_under_filters(spark):
+    chats = Tables(spark, SMALL, "conversations")
+    one = chats["message_user"]._jdf.queryExecution().optimizedPlan().toString().count("replace(")
+    for name in ("message_user_text", "qc_message_special_types", "qc_missing_contact_names"):
+        plan = chats[name]._jdf.queryExecution().optimizedPlan().toString()
+        uses = max(1, plan.count("Generate inline"))
+        assert plan.count("replace(") <= one * uses + 4, name
+
+
 def test_extract_datasets(spark, tmp_path):
     source = spark.createDataFrame([("2024-01-02", "2024-01-02 03:04:05", 1)], "dt string, ts string, n int")
     out = f"{tmp_path}/extract"
