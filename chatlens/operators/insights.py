@@ -196,6 +196,7 @@ def average_length(daily_from_who: DataFrame) -> DataFrame:
 
 # --- special messages -----------------------------------------------------------
 
+# --- fixed values: labels of the kinds of messages ----------------------------
 THREAD_KINDS = {"thread_origins": "Origins", "threaded_replies": "Replies"}
 APP_KINDS = {"app_for_imessage": "Apps"}
 IMAGE_KINDS = {

@@ -96,7 +96,7 @@ def summary_from_who(daily: DataFrame) -> DataFrame:
 
 
 def rollup_summary(daily: DataFrame) -> DataFrame:
-    """The four roll-ups in one pass; ``level`` names the grouping.
+    """The five roll-ups in one pass; ``level`` names the grouping.
 
     Levels: day_contact, day_side, day, side and total.
     """

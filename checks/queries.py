@@ -616,13 +616,19 @@ RANGE_STARTS = {
     SUMMARIES,
 )
 def _(t):
-    def within(name: str) -> DataFrame:
-        start, stop = relative_range(name, RANGE_DAY, FIRST_DAY)
-        total = F.coalesce(F.sum("messages"), F.lit(0)).alias("messages")
-        rows = insights.in_range(t["daily_summary"], start, stop).agg(total)
-        return rows.select(F.lit(name).alias("range_name"), F.lit(start).alias("start_dt"), "messages")
-
-    return reduce(DataFrame.unionByName, (within(name) for name in RELATIVE_RANGES))
+    ranges = {name: relative_range(name, RANGE_DAY, FIRST_DAY) for name in RELATIVE_RANGES}
+    totals = t["daily_summary"].agg(
+        *(F.sum(F.when(F.col("dt").between(*map(F.lit, days)), F.col("messages"))).alias(name) for name, days in ranges.items())
+    )
+    rows = (
+        F.struct(
+            F.lit(name).alias("range_name"),
+            F.lit(start).alias("start_dt"),
+            F.coalesce(F.col(f"`{name}`"), F.lit(0)).alias("messages"),
+        )
+        for name, (start, _) in ranges.items()
+    )
+    return totals.select(F.inline(F.array(*rows)))
 
 
 @register("display_count", "SELECT * FROM daily_total_shown", SUMMARIES)
