@@ -9,9 +9,11 @@ keeps the earliest dart of each coordinate.  Two documents agree in a
 coordinate with a probability equal to their weighted Jaccard similarity.
 
 Bands of coordinates bring similar documents into common buckets.  Each member
-is compared with one leader of its bucket; members that this leaves apart are
-then compared across the groups found so far.  All comparisons that make a link
-are exact, on the shingles themselves.
+is compared with one of the leaders of its buckets.  Members that this leaves
+apart from their leader's group in some bucket are then compared with the closest members of other groups,
+by signature: first in their largest bucket, which joins most of a large group,
+then in all.  All comparisons that make a link are exact, on the shingles
+themselves; their number grows with the members of buckets, not with the pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
 #: Agreement of two signatures under which an exact comparison is not made:
 #: four standard deviations under SIMILARITY.
 LEAST_AGREEMENT = SIMILARITY - 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
-#: Closest members of another group that an unlinked member is compared with.
-TRIED = 8
+#: Closest members of other groups that an unlinked member is compared with in a bucket.
+CLOSEST = 4
 #: Members of a bucket that meet in one task when groups are compared.
 MET = 4096
 
@@ -138,29 +140,41 @@ def _sketched(documents: DataFrame) -> DataFrame:
     return map_arrow(texts, run, schema)
 
 
-def _linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) of text keys whose exact weighted similarity is SIMILARITY or more."""
-    needed = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+def _regions(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (key, regions) of the texts with a wanted key: their regions in order, five bytes each.
+
+    Two different regions agree in 40 bits so rarely that a similarity is off
+    by less than a millionth.
+    """
     texts = documents.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"), "text")
-    texts = texts.join(needed, "key", "left_semi")
+    texts = texts.join(wanted, "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
             hashed, text = shingles(*text_bytes(batch.column("text")))
-            region = regions(hashed, text)
+            region = regions(hashed, text) >> np.uint64(24)
             ends = np.cumsum(np.bincount(text, minlength=batch.num_rows))
-            own = [np.sort(r).tobytes() for r in np.split(region, ends[:-1])]
+            own = [np.unique(r).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for r in np.split(region, ends[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(own, pa.binary())], names=["key", "regions"])
 
-    held = map_arrow(texts, run, "key binary, regions binary").dropDuplicates(["key"])
-    held = written(held, "regions")
+    return map_arrow(texts, run, "key binary, regions binary").dropDuplicates(["key"])
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).reshape(-1)
+
+
+def _linked(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) of text keys whose weighted similarity, on all their regions, is SIMILARITY or more."""
     both = pairs.join(held.toDF("a", "of_a"), "a").join(held.toDF("b", "of_b"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("of_a"), batch.column("of_b")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= SIMILARITY * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -171,47 +185,33 @@ def _linked(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Rows (key, root) for the keys in links (a, b): the least key of each connected group.
 
-    Every round hands the least root among neighbours on and then follows roots
-    to their own roots, so the number of rounds grows with the logarithm of the
+    Every round takes the least root among a key's neighbours and then the root
+    of that root, so the number of rounds grows with the logarithm of the
     longest chain.  All state is in written tables.
     """
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    state = cut(both.groupBy(F.col("a").alias("key")).agg(F.least(F.col("key"), F.min("b")).alias("root")))
+    ways = links.unionAll(links.select("b", "a")).unionAll(links.select("a", "a")).unionAll(links.select("b", "b"))
+    ways = cut(ways.toDF("key", "other").distinct())
+    state = ways.groupBy("key").agg(F.min("other").alias("root"))
+    before = None
     while True:
-        near = (
-            both.join(state, both.b == state.key)
-            .groupBy("a")
-            .agg(F.min("root").alias("near"))
-            .join(state.withColumnRenamed("key", "a"), "a")
-            .select(F.col("a").alias("key"), F.least("near", "root").alias("root"))
-        )
-        roots = state.select(F.col("key").alias("root"), F.col("root").alias("further"))
-        # Hooks a group's root, too, so that whole groups move at once.
-        hooked = (
-            near.join(state.select("key", F.col("root").alias("old")), "key")
-            .groupBy(F.col("old").alias("root"))
-            .agg(F.min("root").alias("hook"))
-        )
-        moved = (
-            near.join(hooked, "root", "left")
-            .join(roots, "root", "left")
-            .select("key", F.least("root", F.coalesce("hook", "root"), F.coalesce("further", "root")).alias("root"))
-        )
-        moved = cut(moved)
-        changed = moved.join(state.withColumnRenamed("root", "old"), "key").where("root <> old").limit(1).count()
-        state = moved
-        if not changed:
+        near = state.toDF("root", "further")
+        state = cut(state.join(near, "root").select("key", F.col("further").alias("root")))
+        # What all roots come to, as a number: the same twice means that none moved.
+        now = state.agg(F.sum(F.xxhash64("key", "root").cast("decimal(38,0)"))).first()[0]
+        if now == before:
             return state
+        before = now
+        at = state.toDF("other", "root")
+        state = ways.join(at, "other").groupBy("key").agg(F.min("root").alias("root"))
 
 
-def _apart(buckets: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
+def _apart(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, everywhere: bool) -> DataFrame:
     """Pairs to compare for members that stayed out of the group of their bucket's leader.
 
-    Such a member is set against the members of other groups in its bucket, and
-    of each group the TRIED closest by signature are paired with it.  Buckets
-    of more than MET members are dealt out by a hash that differs from bucket
-    to bucket, the unlinked members to all parts.
+    Such a member asks in the largest of its buckets, or ``everywhere``, for the
+    CLOSEST members of other groups, by signature.  Buckets of more than MET
+    members are dealt out by a hash that differs from bucket to bucket, the
+    asking members to all parts.
     """
     grouped = (
         buckets.join(groups.withColumnRenamed("key", "node"), "node", "left")
@@ -219,26 +219,30 @@ def _apart(buckets: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame
         .join(groups.toDF("leader", "leader_root"), "leader", "left")
         .withColumn("out", F.col("root") != F.coalesce("leader_root", "leader"))
     )
-    open_buckets = grouped.groupBy("bucket").agg(F.max("out").alias("open"), F.count("*").alias("n")).where("open")
-    open_buckets = open_buckets.select("bucket", F.ceil(F.col("n") / MET).cast("int").alias("parts"))
-    members = grouped.join(open_buckets, "bucket").join(nodes.select(F.col("key").alias("node"), "signature"), "node")
+    asking = grouped.where("out").select("node", "bucket", "n")
+    if not everywhere:
+        asking = asking.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("b")).select("node", "b.bucket", "b.n")
+    asking = cut(asking)
+    open_buckets = asking.groupBy("bucket").agg(F.ceil(F.max("n") / MET).cast("int").alias("parts"))
+    members = (
+        grouped.select("bucket", "node", "root")
+        .join(open_buckets, "bucket")
+        .join(asking.select("bucket", "node", F.lit(True).alias("asks")), ["bucket", "node"], "left")
+        .withColumn("asks", F.coalesce("asks", F.lit(False)))
+        .join(nodes.select(F.col("key").alias("node"), "signature"), "node")
+    )
     part = F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int")
-    parts = F.when(F.col("out"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
-    members = members.select("bucket", F.explode(parts).alias("part"), "node", "root", "out", "signature")
+    parts = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
+    members = members.select("bucket", F.explode(parts).alias("part"), "node", "root", "asks", "signature")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        width = np.dtype("<u2").itemsize * COORDINATES
-        held = np.frombuffer(b"".join(rows.signature), "<u2").reshape(-1, width // 2)
+        held = np.frombuffer(b"".join(rows.signature), "<u2").reshape(-1, COORDINATES)
         root, found = pd.factorize(rows.root)[0], []
-        for i in np.flatnonzero(rows.out.to_numpy()):
+        for i in np.flatnonzero(rows.asks.to_numpy()):
             agreement = (held == held[i]).mean(axis=1)
             near = np.flatnonzero((agreement >= LEAST_AGREEMENT) & (root != root[i]))
-            near = near[np.argsort(-agreement[near], kind="stable")]
-            seen: dict[int, int] = {}
-            for j in near:
-                seen[root[j]] = seen.get(root[j], 0) + 1
-                if seen[root[j]] <= TRIED:
-                    found.append(sorted((rows.node.iat[i], rows.node.iat[j])))
+            near = near[np.argsort(-agreement[near], kind="stable")[:CLOSEST]]
+            found += [sorted((rows.node.iat[i], rows.node.iat[j])) for j in near]
         return pd.DataFrame(found, columns=["a", "b"])
 
     ship(nodes.sparkSession)
@@ -262,15 +266,22 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
         rows.groupBy("bucket")
         .agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node")).alias("first"))
         .where("n > 1")
-        .select("bucket", F.col("first.node").alias("leader"))
+        .select("bucket", F.col("first.node").alias("leader"), "n")
     )
     buckets = written(rows.join(leaders, "bucket"), "buckets")
-    pairs = buckets.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    links = _linked(cut(pairs.distinct()), documents)
+    held = written(_regions(documents, buckets.select(F.col("node").alias("key")).distinct()), "regions")
+    # At first each member meets one leader, the first of those of its buckets.
+    first = F.min(F.struct(F.xxhash64("leader"), "leader")).alias("f")
+    pairs = buckets.where("node <> leader").groupBy("node").agg(first).select("node", F.col("f.leader").alias("leader"))
+    tried = cut(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    links = _linked(tried, held)
     groups = components(links)
-    more = cut(_apart(buckets, nodes, groups))
-    if not more.isEmpty():
-        links = links.unionAll(_linked(more, documents))
+    for everywhere in (False, True):
+        more = cut(_apart(buckets, nodes, groups, everywhere).join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        tried = tried.unionAll(more)
+        links = links.unionAll(_linked(more, held))
         groups = components(links)
     named = sketches.select("doc_id", "key").join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
