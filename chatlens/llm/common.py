@@ -56,14 +56,27 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def written(frame: DataFrame, kind: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: compressed, where checkpoint() is not."""
+def written(frame: DataFrame, kind: str, scratch: bool = True) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: compressed, where checkpoint() is not.
+
+    A ``scratch`` table lasts until clear_scratch().
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/chatlens-{kind}-{uuid.uuid4().hex}"
+    if scratch:
+        spark.sparkContext.__dict__.setdefault("_chatlens_scratch", []).append(path)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the scratch tables that this session has written; nothing that reads them may be left."""
+    paths = spark.sparkContext.__dict__.get("_chatlens_scratch", [])
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -34,7 +34,7 @@ def test_stages_keep_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before, columns = docs.count(), docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, SMALL), name)
+        docs = corpus_pipeline.written(stage(spark, docs, SMALL), name, scratch=False)
         assert docs.columns == columns, name
         assert docs.count() <= before and docs.count(), name
         before = docs.count()
