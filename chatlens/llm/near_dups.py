@@ -35,6 +35,8 @@ BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
 #: Darts that a document looks at, about: enough to fill all coordinates most of the time.
 DARTS = COORDINATES * np.log(COORDINATES) + 2 * COORDINATES
+#: Regions and darts worked on at once.
+AT_ONCE = 200_000
 #: Agreement of two signatures under which an exact comparison is not made:
 #: four standard deviations under SIMILARITY.
 LEAST_AGREEMENT = SIMILARITY - 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
@@ -76,7 +78,23 @@ def regions(hashed: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def dart_signatures(region: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
-    """The earliest dart of each coordinate: an array of texts x COORDINATES; 0 for texts without weight."""
+    """The earliest dart of each coordinate: an array of texts x COORDINATES; 0 for texts without weight.
+
+    Texts are taken a few at a time, as short ones throw as many darts as long
+    ones: about AT_ONCE regions and darts, or one text.
+    """
+    out = np.zeros((texts, COORDINATES), np.uint64)
+    ends = np.cumsum(np.maximum(np.bincount(text, minlength=texts), DARTS))
+    first = 0
+    while first < texts:
+        stop = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, "right")))
+        own = slice(*np.searchsorted(text, [first, stop]))
+        out[first:stop] = _thrown(region[own], text[own] - first, stop - first)
+        first = stop
+    return out
+
+
+def _thrown(region: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     out = np.zeros((texts, COORDINATES), np.uint64)
     weight = np.bincount(text, minlength=texts).astype(float)
     reach = np.where(weight > 0, DARTS / np.maximum(weight, 1), 0.0)
