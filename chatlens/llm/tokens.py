@@ -15,7 +15,7 @@ import numpy as np
 from chatlens.llm.textbytes import BASE, INVERSE, PIECE, mix, powers
 
 #: Different words that are kept; with more, the store starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
 
 
