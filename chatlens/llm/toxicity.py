@@ -25,7 +25,7 @@ from chatlens.llm.common import map_arrow
 from chatlens.llm.textbytes import pieces, text_bytes, word_bounds, word_hashes
 
 #: Labelled documents of either label that the model is fitted on, at most, and their largest size in bytes.
-SAMPLE, SAMPLE_BYTES = 2_000, 40_000
+SAMPLE, SAMPLE_BYTES = 1_500, 40_000
 #: First letters (bytes) of a word that are features of it, and hashed features in all.
 HEADS = (4, 5, 6)
 SPACE = 1 << 18
