@@ -12,8 +12,12 @@ Bands of coordinates bring similar documents into common buckets.  Each member
 is compared with one of the leaders of its buckets.  Members that this leaves
 apart from their leader's group in some bucket are then compared with the closest members of other groups,
 by signature: first in their largest bucket, which joins most of a large group,
-then in all.  All comparisons that make a link are exact, on the shingles
-themselves; their number grows with the members of buckets, not with the pairs.
+then in all.  This only leaves less to do for the last step, which compares
+every two members of a bucket that are not of one group yet: in small buckets
+those whose signatures agree enough, in others those that share one of their
+least common regions, as any two of enough similarity do (a prefix filter).
+Crowds that share even those meet in blocks of bounded size.  All comparisons
+that make a link are exact, on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -44,6 +48,12 @@ LEAST_AGREEMENT = SIMILARITY - 4 * np.sqrt(SIMILARITY * (1 - SIMILARITY) / COORD
 CLOSEST = 4
 #: Members of a bucket that meet in one task when groups are compared.
 MET = 4096
+#: Members of a bucket, or texts with a common region, of which all pairs are made as rows.
+FEW = 64
+#: Texts, and bytes of their regions, that a block holds when blocks are compared.
+BLOCK, BLOCK_BYTES = 512, 2 << 20
+#: Counters of how common regions are; those that share one count as equally common.
+SLOTS = 1 << 18
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -227,7 +237,7 @@ def _apart(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, everywhere:
     """Pairs to compare for members that stayed out of the group of their bucket's leader.
 
     Such a member asks in the largest of its buckets, or ``everywhere``, for the
-    CLOSEST members of other groups, by signature.  Buckets of more than MET
+    CLOSEST members of other groups, by signature; _rest() sees to the others.  Buckets of more than MET
     members are dealt out by a hash that differs from bucket to bucket, the
     asking members to all parts.
     """
@@ -267,6 +277,179 @@ def _apart(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, everywhere:
     return members.groupBy("bucket", "part").applyInPandas(run, "a binary, b binary").distinct()
 
 
+def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in LEAST_AGREEMENT or more."""
+    signs = nodes.select("key", "signature")
+    both = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(text_bytes(batch.column(c))[0], "<u2").reshape(-1, COORDINATES) for c in ("sign_a", "sign_b"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT))
+
+    return map_arrow(both.select("a", "b", "sign_a", "sign_b"), run, "a binary, b binary")
+
+
+def _commonness(held: DataFrame) -> np.ndarray:
+    """How often the regions of each of SLOTS slots occur."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in pieces(batches, "regions", 1 << 20):
+            region = _unpacked(text_bytes(batch.column("regions"))[0].tobytes())
+            total += np.bincount((region % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+    found = map_arrow(held.select("regions"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[found.slot] = found.n
+    return out
+
+
+def prefix(region: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """A text's least common regions, and how many of them other texts find it by.
+
+    If a text is SIMILARITY or more alike to one that is no shorter, one of
+    the former's regions that it is found by is among the latter's prefix.
+    """
+    n = len(region)
+    order = np.lexsort((region, common[(region % np.uint64(SLOTS)).astype(np.int64)]))
+    longest = n - int(np.ceil(SIMILARITY * n - 1e-6)) + 1
+    return region[order[:longest]], n - int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-6)) + 1
+
+
+def _prefixes(held: DataFrame, common: np.ndarray) -> DataFrame:
+    """Rows (region, node, root, weight, size, found) for the prefixes of texts (key, regions, root, weight)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "regions", 1 << 20):
+            sizes, parts, found = [], [], []
+            for packed in batch.column("regions"):
+                region = _unpacked(packed.as_py())
+                own, first = prefix(region, common)
+                sizes.append(len(region))
+                parts.append(own.astype(np.int64))
+                found.append(np.arange(len(own)) < first)
+            of = np.repeat(np.arange(batch.num_rows), [len(p) for p in parts])
+            columns = [pa.array(np.concatenate(parts)), *(batch.column(c).take(pa.array(of)) for c in ("key", "root", "weight"))]
+            columns += [pa.array(np.array(sizes)[of]), pa.array(np.concatenate(found))]
+            yield pa.RecordBatch.from_arrays(columns, names=["region", "node", "root", "weight", "size", "found"])
+
+    schema = "region bigint, node binary, root binary, weight bigint, size bigint, found boolean"
+    return map_arrow(held.select("key", "regions", "root", "weight"), run, schema)
+
+
+def block_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that join all groups (root) that two blocks of texts (block, node, root, regions) hold links between."""
+    one, other = (rows[rows.block == b] for b in (rows.block.min(), rows.block.max()))
+    sides, unpacked = [], []
+    for side in (one, other):
+        each = [_unpacked(r) for r in side.regions]
+        unpacked.append((np.concatenate(each), np.repeat(np.arange(len(each)), [len(e) for e in each])))
+        sides.append(np.array([len(e) for e in each], float))
+    both = np.intersect1d(unpacked[0][0], unpacked[1][0])
+    entries = []
+    for region, text in unpacked:
+        at = np.searchsorted(both, region)
+        shared = at < len(both)
+        shared[shared] = both[at[shared]] == region[shared]
+        order = np.argsort(at[shared], kind="stable")
+        entries.append((at[shared][order], text[shared][order]))
+    common = np.zeros((len(one), len(other)), np.float32)
+    for start in range(0, len(both), 1024):
+        dense = []
+        for (at, text), side in zip(entries, sides):
+            own = slice(*np.searchsorted(at, [start, start + 1024]))
+            dense.append(np.zeros((len(side), 1024), np.float32))
+            dense[-1][text[own], at[own] - start] = 1
+        common += dense[0] @ dense[1].T
+    common = common.astype(float)
+    root = pd.factorize(pd.concat([one.root, other.root]))[0]
+    left, right = root[: len(one)], root[len(one) :]
+    alike = common >= SIMILARITY * (sides[0][:, None] + sides[1][None, :] - common)
+    x, y = np.nonzero(alike & (left[:, None] != right[None, :]))
+    first = np.unique(np.minimum(left[x], right[y]) * len(root) + np.maximum(left[x], right[y]), return_index=True)[1]
+    top, kept = list(range(len(root))), []
+
+    def of(k: int) -> int:
+        while top[k] != k:
+            top[k] = k = top[top[k]]
+        return k
+
+    for i, j in zip(x[first], y[first]):
+        p, q = of(left[i]), of(right[j])
+        if p != q:
+            top[p] = q
+            kept.append(sorted((one.node.iat[i], other.node.iat[j])))
+    return pd.DataFrame(kept, columns=["a", "b"])
+
+
+def _in_blocks(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Links between texts of different groups among those that share a region, for regions of many texts.
+
+    Rows are (region, node, root, size, found, main); main is the root of a
+    region's largest group, of which no two are compared.  Nor are two of
+    which neither is found by the region.  Each of the four kinds of texts is
+    dealt into blocks, and two blocks meet in a task.
+    """
+    active = F.col("root") != F.col("main")
+    kind = F.when(~F.col("found"), F.when(active, 3).otherwise(0)).otherwise(F.when(active, 2).otherwise(1))
+    rows = rows.withColumn("kind", kind)
+    n = [F.count(F.when(F.col("kind") == k, 1)) for k in range(4)]
+    held_bytes = [F.coalesce(F.sum(F.when(F.col("kind") == k, 5 * F.col("size"))), F.lit(0)) for k in range(4)]
+    ends = rows.groupBy("region").agg(*[F.ceil(F.greatest(n[k] / BLOCK, held_bytes[k] / BLOCK_BYTES)).cast("int").alias(f"p{k}") for k in range(4)])
+    o = [F.lit(0), F.col("p0"), F.expr("p0 + p1"), F.expr("p0 + p1 + p2"), F.expr("p0 + p1 + p2 + p3")]
+    at = F.pmod(F.xxhash64("node", "region"), F.greatest(F.element_at(F.array("p0", "p1", "p2", "p3"), F.col("kind") + 1), F.lit(1)))
+    block = (F.element_at(F.array(*o), F.col("kind") + 1) + at).cast("int")
+    # Blocks in the order of kinds, so that those which a kind meets are side by side.
+    low, high = (F.element_at(F.array(*[o[k] for k in ks]), F.col("kind") + 1) for ks in ((2, 2, 0, 1), (3, 4, 4, 3)))
+    met = F.when(low < high, F.sequence(low, high - 1))
+    rows = rows.join(ends, "region").select("region", "node", "root", block.alias("block"), met.alias("met"))
+    rows = rows.select("region", "node", "root", "block", F.explode("met").alias("other"))
+    rows = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
+    rows = rows.join(held.withColumnRenamed("key", "node"), "node")
+    ship(rows.sparkSession)
+    return rows.groupBy("region", "i", "j").applyInPandas(lambda met: block_links(met[["block", "node", "root", "regions"]]), "a binary, b binary")
+
+
+def _rest(buckets: DataFrame, nodes: DataFrame, held: DataFrame, groups: DataFrame, tried: DataFrame) -> DataFrame:
+    """Links that join all groups of which two members share a bucket and are alike, apart from the pairs ``tried``."""
+    weights = groups.groupBy("root").agg(F.count("*").alias("weight"))
+    weighted = groups.join(weights, "root").withColumnRenamed("key", "node")
+    grouped = buckets.select("bucket", "node", "n").join(weighted, "node", "left")
+    grouped = grouped.withColumns({"root": F.coalesce("root", "node"), "weight": F.coalesce("weight", F.lit(1))})
+    open_buckets = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    grouped = written(grouped.join(open_buckets.select("bucket"), "bucket"), "open")
+
+    def paired(rows: DataFrame, by: str, fits) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        both = x.join(y, (F.col(f"x.{by}") == F.col(f"y.{by}")) & (F.col("x.root") != F.col("y.root")) & fits)
+        return both.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    pairs = paired(grouped.where(F.col("n") <= FEW).select("bucket", "node", "root"), "bucket", F.col("x.node") < F.col("y.node"))
+    crowded = grouped.where(F.col("n") > FEW).select(F.col("node").alias("key"), "root", "weight").distinct()
+    links = None
+    if not crowded.isEmpty():
+        crowd = written(held.join(crowded, "key"), "crowd")
+        rows = written(_prefixes(crowd, _commonness(crowd)), "prefixes")
+        shared = rows.groupBy("region").agg(
+            F.count("*").alias("n"),
+            F.max("found").alias("any"),
+            F.min("root").alias("low"),
+            F.max("root").alias("high"),
+            F.max(F.struct("weight", "root")).alias("most"),
+        )
+        shared = shared.where("any and low <> high").select("region", "n", F.col("most.root").alias("main"))
+        rows = written(rows.join(shared, "region"), "shared")
+        fits = F.col("x.found") & (F.col("x.size") <= F.col("y.size")) & (F.col("x.size") >= SIMILARITY * F.col("y.size") - 1e-6)
+        pairs = pairs.unionAll(paired(rows.where(F.col("n") <= FEW), "region", fits)).distinct()
+        links = cut(_in_blocks(rows.where(F.col("n") > FEW), held))
+    more = written(_agreeing(pairs.join(tried, ["a", "b"], "left_anti"), nodes), "pairs")
+    more = _linked(more, held)
+    return more.unionAll(links) if links is not None else more
+
+
 def near_duplicate_classes(documents: DataFrame) -> DataFrame:
     """A row per row of ``documents``: doc_id, text_key, class_key, class_id (the least doc_id of its class), class_size.
 
@@ -301,6 +484,9 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
         tried = tried.unionAll(more)
         links = links.unionAll(_linked(more, held))
         groups = components(links)
+    more = cut(_rest(buckets, nodes, held, groups, tried))
+    if not more.isEmpty():
+        groups = components(links.unionAll(more))
     named = sketches.select("doc_id", "key").join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return named.join(names, "root").select(

@@ -152,6 +152,90 @@ def test_a_group_held_together_by_chains(spark):
     assert found_classes(frame) == brute_classes(list(enumerate(texts)))
 
 
+def template_texts(pick, n, twins, places=9):
+    """n texts of one template with words of their own in a few places, so under 0.8 alike, but ``twins`` pairs share one."""
+    base = [f"t{k}" for k in range(400)]
+    texts = []
+    for k in range(n):
+        words, own = list(base), [f"o{k}x{j}" for j in range(places)]
+        if k % 2 and k < 2 * twins:
+            own[0] = kept[0]
+        for j, word in enumerate(own):
+            words[15 + 30 * j] = word
+        kept = own
+        texts.append(" ".join(words))
+    pick.shuffle(texts)
+    return texts
+
+
+def brute_links(texts):
+    """Pairs of texts with a weighted similarity of 0.8 or more, by counting; shingles must not repeat in a text."""
+    number, rows = {}, []
+    for text in texts:
+        words = text.split()
+        rows.append([number.setdefault(tuple(words[k : k + 5]), len(number)) for k in range(len(words) - 4)])
+        assert len(set(rows[-1])) == len(rows[-1])
+    common = np.zeros((len(texts), len(texts)), np.int32)
+    holders = [[] for _ in number]
+    for i, row in enumerate(rows):
+        for shingle in row:
+            holders[shingle].append(i)
+    for held in holders:
+        if len(held) > 1:
+            common[np.ix_(held, held)] += 1
+    size = np.array([len(r) for r in rows])
+    return np.argwhere(np.triu(common >= 0.8 * (size[:, None] + size[None, :] - common), 1))
+
+
+def linked_classes(texts):
+    root = list(range(len(texts)))
+    for i, j in brute_links(texts):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    return [(i, r) for i, r in enumerate(root)]
+
+
+def test_no_link_is_lost_in_a_crowd_of_like_texts(spark):
+    """Pairs at 0.817 among 2,000 texts that are at 0.796 to all others, which signatures cannot tell apart."""
+    texts = template_texts(random.Random(8), 2000, 60)
+    expected = linked_classes(texts)
+    assert len({r for _, r in expected}) == 2000 - 60
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert found_classes(frame) == sorted(expected, key=str)
+
+
+def test_no_link_is_lost_in_blocks(spark, monkeypatch):
+    """Places filled from few words: crowds even by the least common shingles, with links at 0.8 and all around it."""
+    for name, value in (("FEW", 4), ("BLOCK", 8), ("CLOSEST", 0)):
+        monkeypatch.setattr(near_dups, name, value)
+    pick = random.Random(4)
+    base, texts = [f"t{k}" for k in range(150)], set()
+    while len(texts) < 400:
+        words = base[: pick.randint(120, 150)]
+        for j in range(5):
+            words[10 + 20 * j] = f"p{j}x{pick.randrange(12)}"
+        texts.add(" ".join(words))
+    texts = sorted(texts)
+    expected = linked_classes(texts)
+    assert 1 < len({r for _, r in expected}) < 400
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert found_classes(frame) == sorted(expected, key=str)
+
+
+def test_alike_texts_find_each_other_by_their_prefixes():
+    pick = np.random.default_rng(3)
+    common = pick.integers(0, 5, near_dups.SLOTS)
+    for _ in range(300):
+        n, fewer, own = pick.integers(1, 80), pick.integers(0, 12), pick.integers(0, 12)
+        one = np.unique(pick.integers(0, 1 << 40, n + fewer).astype(np.uint64))
+        other = np.unique(np.append(one[: len(one) - fewer], pick.integers(0, 1 << 40, own).astype(np.uint64)))
+        both = len(np.intersect1d(one, other))
+        if len(other) and both >= 0.8 * (len(one) + len(other) - both):
+            short, long = sorted((one, other), key=len)
+            least, first = near_dups.prefix(short, common)
+            assert set(least[:first]) & set(near_dups.prefix(long, common)[0])
+
+
 def test_one_document_of_each_class_stays(odd_documents, no_documents):
     kept = near_dups.drop_near_duplicates(odd_documents)
     assert kept.columns == odd_documents.columns
