@@ -11,8 +11,8 @@ coordinate with a probability equal to their weighted Jaccard similarity.
 Bands of coordinates bring similar documents into common buckets.  Each member
 is compared with one of the leaders of its buckets.  Members that this leaves
 apart from their leader's group in some bucket are then compared with the closest members of other groups,
-by signature: first in their largest bucket, which joins most of a large group,
-then in all.  This only leaves less to do for the last step, which compares
+by signature, in a bounded part of their largest bucket, which joins most of a
+large group.  This only leaves less to do for the last step, which compares
 every two members of a bucket that are not of one group yet: in small buckets
 those whose signatures agree enough, in others those that share one of their
 least common regions, as any two of enough similarity do (a prefix filter).
@@ -233,13 +233,13 @@ def components(links: DataFrame) -> DataFrame:
         state = ways.join(at, "other").groupBy("key").agg(F.min("root").alias("root"))
 
 
-def _apart(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, everywhere: bool) -> DataFrame:
+def _apart(buckets: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs to compare for members that stayed out of the group of their bucket's leader.
 
-    Such a member asks in the largest of its buckets, or ``everywhere``, for the
-    CLOSEST members of other groups, by signature; _rest() sees to the others.  Buckets of more than MET
-    members are dealt out by a hash that differs from bucket to bucket, the
-    asking members to all parts.
+    Such a member asks in the largest of its buckets for the CLOSEST members of
+    other groups, by signature; _rest() sees to the others.  Buckets are dealt
+    out in parts of MET members, about, by a hash that differs from bucket to
+    bucket; members ask in their own part.
     """
     grouped = (
         buckets.join(groups.withColumnRenamed("key", "node"), "node", "left")
@@ -247,10 +247,8 @@ def _apart(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, everywhere:
         .join(groups.toDF("leader", "leader_root"), "leader", "left")
         .withColumn("out", F.col("root") != F.coalesce("leader_root", "leader"))
     )
-    asking = grouped.where("out").select("node", "bucket", "n")
-    if not everywhere:
-        asking = asking.groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("b")).select("node", "b.bucket", "b.n")
-    asking = cut(asking)
+    asking = grouped.where("out").groupBy("node").agg(F.max(F.struct("n", "bucket")).alias("b"))
+    asking = cut(asking.select("node", "b.bucket", "b.n"))
     open_buckets = asking.groupBy("bucket").agg(F.ceil(F.max("n") / MET).cast("int").alias("parts"))
     members = (
         grouped.select("bucket", "node", "root")
@@ -260,8 +258,7 @@ def _apart(buckets: DataFrame, nodes: DataFrame, groups: DataFrame, everywhere:
         .join(nodes.select(F.col("key").alias("node"), "signature"), "node")
     )
     part = F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int")
-    parts = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))
-    members = members.select("bucket", F.explode(parts).alias("part"), "node", "root", "asks", "signature")
+    members = members.select("bucket", part.alias("part"), "node", "root", "asks", "signature")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         held = np.frombuffer(b"".join(rows.signature), "<u2").reshape(-1, COORDINATES)
@@ -477,8 +474,8 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
     tried = cut(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
     links = _linked(tried, held)
     groups = components(links)
-    for everywhere in (False, True):
-        more = cut(_apart(buckets, nodes, groups, everywhere).join(tried, ["a", "b"], "left_anti"))
+    for _ in range(2):
+        more = cut(_apart(buckets, nodes, groups).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         tried = tried.unionAll(more)

@@ -222,6 +222,30 @@ def test_no_link_is_lost_in_blocks(spark, monkeypatch):
     assert found_classes(frame) == sorted(expected, key=str)
 
 
+def test_a_crowded_bucket_is_dealt_in_parts(spark, monkeypatch):
+    """Each member of a bucket without links comes to one part, so a part meets about MET of them."""
+    monkeypatch.setattr(near_dups, "MET", 10)
+    rows = [(bytes([k]), np.full(near_dups.COORDINATES, 7, "<u2").tobytes()) for k in range(200)]
+    nodes = spark.createDataFrame(rows, "key binary, signature binary")
+    buckets = nodes.selectExpr("1L AS bucket", "key AS node", "X'00' AS leader", "200L AS n")
+    groups = spark.createDataFrame([], "key binary, root binary")
+    asked = near_dups._apart(buckets, nodes, groups).collect()
+    met = {}
+    for r in asked:
+        met.setdefault(bytes(r.a), set()).add(bytes(r.b))
+        met.setdefault(bytes(r.b), set()).add(bytes(r.a))
+    parts, left = [], {k for k, _ in rows}
+    while left:
+        part, todo = set(), {left.pop()}
+        while todo:
+            k = todo.pop()
+            part.add(k)
+            todo |= met.get(k, set()) - part
+        left -= part
+        parts.append(len(part))
+    assert max(parts) <= 40
+
+
 def test_alike_texts_find_each_other_by_their_prefixes():
     pick = np.random.default_rng(3)
     common = pick.integers(0, 5, near_dups.SLOTS)
