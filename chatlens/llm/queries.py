@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlens.llm import bpe, chat_format, decontaminate, fingerprints, near_dups, quality, suffix_dedup, token_files, toxicity, url_filter
+from chatlens.llm import (
+    bpe,
+    centroids,
+    chat_format,
+    decontaminate,
+    fingerprints,
+    near_dups,
+    packing,
+    phrases,
+    quality,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from chatlens.llm.common import shared_folder, table
 from chatlens.llm.sql import ORACLES
 
@@ -145,6 +159,30 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+PHRASE_WORDS, PHRASE_LEAST, PHRASE_TOP = 4, 30, 2000
+
+
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("lang", "text")
+    return phrases.collocations(documents, PHRASE_WORDS, PHRASE_LEAST, PHRASE_TOP)
+
+
+SEQUENCE, PACKED_END = 2048, 0
+
+
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    cut = packing.cut_pieces(table(spark, folder, "documents"), vocabulary(), SEQUENCE, PACKED_END)
+    return packing.place(cut, SEQUENCE).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+CLUSTERS, ROUNDS, COMPONENTS = 40, 5, 64
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster(table(spark, folder, "embeddings"), CLUSTERS, ROUNDS, COMPONENTS)
+    return centroids.described(*found).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -156,6 +194,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_token_files": op10_token_files,
+    "op11_collocations": op11_collocations,
+    "op12_packing": op12_packing,
+    "op13_centroids": op13_centroids,
 }
 
 

@@ -44,4 +44,61 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
-ORACLES = {"op4_decontaminate": OP4, "op9_chat_format": OP9}
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words
+  FROM (SELECT lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(words))::BIGINT AS n FROM pieces WHERE len(words) > 0 GROUP BY lang),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS s FROM pieces),
+grams AS (
+  SELECT lang, size, words[s:s + size - 1] AS gram, count(*) AS f
+  FROM places, (SELECT unnest(range(1, 5)) AS size) WHERE s + size - 1 <= len(words) GROUP BY ALL),
+often AS (SELECT * FROM grams WHERE f >= 30),
+cuts AS (
+  SELECT c.lang, c.gram, c.size AS size, c.f AS a, k, l.f AS l, r.f AS r,
+         (2000000::HUGEINT * c.f // (l.f::HUGEINT + r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM often WHERE size > 1) c
+  JOIN often l ON l.lang = c.lang AND l.gram = c.gram[1:k]
+  JOIN often r ON r.lang = c.lang AND r.gram = c.gram[k + 1:c.size]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1),
+held AS (
+  SELECT DISTINCT b.lang, b.gram
+  FROM (SELECT lang, f, size, gram, unnest(range(2, size)) AS part FROM often WHERE size > 2) o,
+       (SELECT unnest(range(1, 4)) AS s) p, best b
+  WHERE s + part - 1 <= o.size AND b.lang = o.lang AND b.gram = o.gram[s:s + part - 1] AND 100::HUGEINT * o.f >= 80::HUGEINT * b.a),
+left_over AS (SELECT *, array_to_string(gram, ' ') AS phrase FROM best ANTI JOIN held USING (lang, gram)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def _op13() -> str:
+    rounds = "".join(
+        f"""
+a{k} AS (SELECT uid, vec_id, v, c, d FROM (SELECT vectors.uid, vectors.vec_id, vectors.v, c,
+       list_sum(list_transform(list_zip(vectors.v, w), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM vectors, c{k})
+       QUALIFY row_number() OVER (PARTITION BY uid ORDER BY d, c) = 1),
+s{k} AS (SELECT c, list(m ORDER BY i) AS w FROM (
+       SELECT c, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m
+       FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS i FROM a{k}) GROUP BY c, i) GROUP BY c),
+c{k + 1} AS (SELECT c, coalesce(s{k}.w, c{k}.w) AS w FROM c{k} LEFT JOIN s{k} USING (c)),"""
+        for k in range(5)
+    )
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v AS w
+       FROM vectors QUALIFY c < 40),{rounds}
+final AS (SELECT uid, vec_id, c, d, w FROM (SELECT uid, vec_id, c, w,
+       list_sum(list_transform(list_zip(v, w), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM vectors, c5)
+       QUALIFY row_number() OVER (PARTITION BY uid ORDER BY d, c) = 1)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(w, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM final
+"""
+
+
+ORACLES = {"op11_collocations": OP11, "op13_centroids": _op13(), "op4_decontaminate": OP4, "op9_chat_format": OP9}
