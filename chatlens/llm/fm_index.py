@@ -25,27 +25,47 @@ class Patterns(NamedTuple):
     symbol: np.ndarray
 
 
+def stable_order(key: np.ndarray, largest: int) -> np.ndarray:
+    """argsort(kind="stable") of numbers from 0 to ``largest``.
+
+    Where the places fit into the bits below the numbers, values are sorted, which is several times faster.
+    """
+    bits = len(key).bit_length()
+    if int(largest).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    both = key.astype(np.int64) << bits
+    both |= np.arange(len(key))
+    both.sort()
+    both &= (1 << bits) - 1
+    return both
+
+
 def transform(sequence: np.ndarray, depth: int) -> np.ndarray:
     """The symbol before each suffix, in the order of the suffixes' first ``depth`` symbols; ties by place."""
     rank, span = sequence.astype(np.int64), 1
     while True:
+        most = int(rank.max(initial=0)) + 1
         after = np.zeros_like(rank)
         after[:-span] = rank[span:]
-        key = rank * (int(rank.max(initial=0)) + 1) + after
+        key = rank * most + after
+        order = stable_order(key, most * most)
         span *= 2
         if span >= depth:
-            return sequence[np.argsort(key, kind="stable") - 1]
-        rank = np.unique(key, return_inverse=True)[1]
+            return sequence[order - 1]
+        key = key[order]
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1])[: len(key)])
 
 
 class BiIndex:
-    """Both transforms of a sequence of symbols 0 to ``symbols`` that begins and ends with 0."""
+    """Both transforms of a sequence of symbols 0 to ``symbols`` that begins and ends with 0.
+
+    Extensions to one side need one transform only; the other may be None.
+    """
 
-    def __init__(self, forward: np.ndarray, backward: np.ndarray, symbols: int):
+    def __init__(self, forward: np.ndarray | None, backward: np.ndarray | None, symbols: int):
         self.forward, self.backward = forward, backward
-        sizes = np.bincount(forward, minlength=symbols + 1)
-        self.first = np.cumsum(sizes) - sizes
-        self.sizes = sizes
+        self.sizes = np.bincount(backward if forward is None else forward, minlength=symbols + 1)
+        self.first = np.cumsum(self.sizes) - self.sizes
 
     @classmethod
     def build(cls, sequence: np.ndarray, depth: int, symbols: int) -> BiIndex:
@@ -64,17 +84,17 @@ class BiIndex:
         ends = np.cumsum(count)
         owner = np.repeat(np.arange(len(near)), count)
         row = np.arange(len(owner)) + np.repeat(near - (ends - count), count)
-        beside = here[row].astype(np.int64)
         width = len(self.first)
-        order = np.argsort(owner * width + beside, kind="stable")
-        key = (owner * width + beside)[order]
+        key = owner * width + here[row]
+        order = stable_order(key, max(len(near), 1) * width)
+        key = key[order]
         fresh = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         parent, symbol = np.divmod(key[fresh], width)
         found = np.diff(np.append(fresh, len(key)))
         smaller = fresh - (ends - count)[parent]
         # The first row of the interval that the symbol precedes tells how many of it come before.
         inverse = np.empty(len(here), np.int64)
-        inverse[np.argsort(here, kind="stable")] = np.arange(len(here))
+        inverse[stable_order(here, width)] = np.arange(len(here))
         near, far = inverse[row[order[fresh]]], far[parent] + smaller
         real = symbol > 0
         low, back = (near, far) if left else (far, near)

@@ -63,7 +63,7 @@ def shard_words(data: np.ndarray, offsets: np.ndarray, language: np.ndarray, lan
     if not len(starts):
         return [], np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     where = np.append(0, np.cumsum(ends - starts)).astype(np.int64)
-    letters = LOWERED[data[inside]].astype(np.uint8)
+    letters = LOWERED[data[inside]]
     column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(where), pa.py_buffer(letters)])
     coded = column.dictionary_encode()
     text = np.searchsorted(offsets, starts, "right") - 1
@@ -72,9 +72,11 @@ def shard_words(data: np.ndarray, offsets: np.ndarray, language: np.ndarray, lan
     used = np.flatnonzero(counts)
     number = np.zeros(len(counts), np.int64)
     number[used] = np.arange(1, len(used) + 1)
-    piece = np.cumsum(IS_BORDER[data])[starts]
-    fresh = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (text[1:] != text[:-1])))
-    sequence = np.append(np.insert(number[both], fresh, 0), 0)
+    # The words before which a piece begins: those next to a border, and the first ones of texts.
+    fresh = np.zeros(len(starts) + 1, bool)
+    fresh[np.searchsorted(starts, np.flatnonzero(IS_BORDER[data]))] = True
+    fresh[np.searchsorted(starts, begins)] = True
+    sequence = np.append(np.insert(number[both], np.flatnonzero(fresh[:-1]), 0), 0)
     return coded.dictionary.take(pa.array(used // languages)), used % languages, counts[used], sequence
 
 
@@ -132,14 +134,14 @@ def _shards(documents: DataFrame) -> DataFrame:
     return written(map_arrow(texts, run, schema), "phrase-shards")
 
 
-PAIRS = "shard bigint, length bigint, symbols binary, forward binary, backward binary, low int, back int, n bigint, head bigint, tail bigint"
+PAIRS = "shard bigint, length bigint, symbols int, forward binary, backward binary, low int, back int, n bigint, head bigint, tail bigint"
 
 
-def _index_rows(shard: int, index: BiIndex, numbers: np.ndarray) -> dict:
+def _index_rows(shard: int, index: BiIndex, symbols: int) -> dict:
     return {
         "shard": pa.array([shard]),
         "length": pa.array([len(index.forward)]),
-        "symbols": pa.array([numbers.astype("<i8").tobytes()], pa.binary()),
+        "symbols": pa.array([symbols], pa.int32()),
         "forward": pa.array([_packed(index.forward)], pa.binary()),
         "backward": pa.array([_packed(index.backward)], pa.binary()),
         "low": pa.nulls(1, pa.int32()),
@@ -155,7 +157,9 @@ def _pair_rows(shard: int, low, back, n, head, tail) -> dict:
     return {
         "shard": pa.array(np.full(rows, shard)),
         "length": pa.nulls(rows, pa.int64()),
-        **{c: pa.nulls(rows, pa.binary()) for c in ("symbols", "forward", "backward")},
+        "symbols": pa.nulls(rows, pa.int32()),
+        "forward": pa.nulls(rows, pa.binary()),
+        "backward": pa.nulls(rows, pa.binary()),
         "low": pa.array(low, pa.int32()),
         "back": pa.array(back, pa.int32()),
         "n": pa.array(n, pa.int64()),
@@ -195,7 +199,7 @@ def _first_pairs(shards: DataFrame, words: DataFrame, depth: int) -> DataFrame:
         index = BiIndex.build(sequence, depth, len(numbers))
         single = index.words()
         rows = grown(index, single.low, single.back, single.count, numbers, True)
-        tables = [pa.Table.from_pydict(_index_rows(shard, index, numbers)), pa.Table.from_pydict(_pair_rows(shard, *rows))]
+        tables = [pa.Table.from_pydict(_index_rows(shard, index, len(numbers))), pa.Table.from_pydict(_pair_rows(shard, *rows))]
         return pa.concat_tables(tables).cast(SCHEMA)
 
     sequences = shards.where("sequence IS NOT NULL").select("shard", "length", "sequence")
@@ -204,23 +208,25 @@ def _first_pairs(shards: DataFrame, words: DataFrame, depth: int) -> DataFrame:
 
 
 SCHEMA = pa.schema(
-    [("shard", pa.int64()), ("length", pa.int64()), ("symbols", pa.binary()), ("forward", pa.binary()), ("backward", pa.binary())]
+    [("shard", pa.int64()), ("length", pa.int64()), ("symbols", pa.int32()), ("forward", pa.binary()), ("backward", pa.binary())]
     + [("low", pa.int32()), ("back", pa.int32()), ("n", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())]
 )
 
 
 def _next_pairs(indexes: DataFrame, pairs: DataFrame, grams: DataFrame, left: bool) -> DataFrame:
-    """The phrases one word longer than the frequent ones, in each shard."""
+    """The phrases one word longer than the frequent ones, in each shard, by the transform that the side needs."""
+    indexes = indexes.select("shard", "length", "symbols", F.col("forward" if left else "backward").alias("packed"))
     frequent = pairs.join(grams.select("head", "tail", "gram"), ["head", "tail"]).select(F.col("shard").alias("of"), "low", "back", "n", "gram")
 
     def run(index: pa.Table, known: pa.Table) -> pa.Table:
         if not index.num_rows or not known.num_rows:
             return pa.Table.from_batches([], SCHEMA)
-        shard, length, symbols, forward, backward = (index.column(c)[0].as_py() for c in index.column_names)
-        held = BiIndex(_unpacked(forward, length), _unpacked(backward, length), len(symbols) // 8)
+        length, symbols, packed = (index.column(c)[0].as_py() for c in ("length", "symbols", "packed"))
+        own = _unpacked(packed, length)
+        held = BiIndex(*((own, None) if left else (None, own)), symbols)
         known = known.sort_by("low")
         low, back, n, gram = (known.column(c).to_numpy().astype(np.int64) for c in ("low", "back", "n", "gram"))
-        return pa.Table.from_pydict(_pair_rows(shard, *grown(held, low, back, n, gram, left))).cast(SCHEMA)
+        return pa.Table.from_pydict(_pair_rows(index.column("shard")[0].as_py(), *grown(held, low, back, n, gram, left))).cast(SCHEMA)
 
     both = indexes.groupBy("shard").cogroup(frequent.groupBy("of"))
     return written(both.applyInArrow(run, PAIRS), "phrase-pairs")
