@@ -5,8 +5,10 @@ attachment (image, audio, document) that becomes one placeholder; its reference
 and the number of tokens it stands for are recorded beside the text.
 
 All control strings start with '<|'.  Inside roles and texts each '<|' becomes
-'<\|', and each '<\|', '<\\|' ... gets one more backslash.  So no text can hold
-a control string, and the change can be undone.
+'<\|', and each '<\|', '<\\|' ... gets one more backslash.  Texts side by side are
+joined first, as a control string may be dealt over them.  So no text can hold a
+control string, and the change can be undone.  Placeholders have a prefix that
+no other control string has.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 LOSS_ROLE = "assistant"
 #: Tokens that one attachment stands for where its part does not say.
 EXPANDED_TOKENS = {"image": 576, "audio": 1500, "document": 2048}
+#: Placeholders by kind; any other kind has the last.
+PLACEHOLDERS = {kind: f"<|part:{kind}|>" for kind in ("image", "audio", "document")}
+OTHER_PLACEHOLDER = "<|part:other|>"
 PART = "struct<kind:string,text:string,ref:string,tokens:bigint>"
 
 
@@ -49,11 +54,20 @@ def _kind(part: Column) -> Column:
     return F.coalesce(part["kind"], F.lit("document"))
 
 
-def _visit(part: Column) -> Column:
-    """A part as it stands in the text: a text escaped, anything else as the placeholder of its kind."""
-    return F.when(_kind(part) == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), F.regexp_replace(_kind(part), "[^0-9A-Za-z_]", "_"), F.lit("|>"))
-    )
+def _body(parts: Column) -> Column:
+    """The parts as they stand in the text: runs of texts joined and escaped, anything else as the placeholder of its kind."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    known = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
+
+    def visit(so_far: Column, part: Column) -> Column:
+        placeholder = F.coalesce(F.try_element_at(known, _kind(part)), F.lit(OTHER_PLACEHOLDER))
+        joined = F.concat(so_far["open"], F.coalesce(part["text"], F.lit("")))
+        closed = F.concat(so_far["done"], escape(so_far["open"]), placeholder)
+        return F.when(_kind(part) == "text", F.struct(so_far["done"].alias("done"), joined.alias("open"))).otherwise(
+            F.struct(closed.alias("done"), F.lit("").alias("open"))
+        )
+
+    return F.aggregate(parts, start, visit, lambda end: F.concat(end["done"], escape(end["open"])))
 
 
 def _attachment(part: Column) -> Column:
@@ -73,7 +87,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Turns are ordered by turn, role and parts, nulls first, so ties have one
     order; repeated rows stay turns of their own.  Rows without a conv_id are
     one conversation.  A null role is an empty one, null parts are none, a null
-    kind is a document.  Other columns are left out; an empty table gives none.
+    kind is a document; kinds not in PLACEHOLDERS share one placeholder, and
+    their attachments have the kind as given.  Other columns are left out; an
+    empty table gives none.
 
     A conversation is one text, so its turns meet in one row; nothing else does.
     """
@@ -85,7 +101,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     ).select(
         "*",
         F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY)).alias("head"),
-        F.array_join(F.transform("parts", _visit), "").alias("body"),
+        _body(F.col("parts")).alias("body"),
     )
     whole = pieces.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "parts", "head", "body"))).alias("turns")
@@ -109,7 +125,8 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     """Reads formatted texts back: conv_id, turns (role, text) and loss_texts, both unescaped and in order.
 
     Placeholders stay in the texts as they are; they have no backslash, which
-    no escaped text can lack.
+    no escaped text can lack.  Of broken texts what follows the last end marker
+    is left out, and a turn without a body marker is all role, with an empty text.
     """
     # The last piece is what follows the last end marker: nothing.
     pieces = formatted.select("*", _split_at(F.col("formatted"), END).alias("split_turns")).select(
@@ -118,7 +135,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
 
     def parsed(piece: Column) -> Column:
         halves = _split_at(F.substr(piece, F.lit(len(TURN) + 1)), BODY)
-        return F.struct(unescape(halves[0]).alias("role"), unescape(halves[1]).alias("text"))
+        return F.struct(unescape(halves[0]).alias("role"), unescape(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).alias("text"))
 
     masked = F.filter(F.arrays_zip("pieces", "loss_mask"), lambda x: x["loss_mask"]["take"] > 0)
     under = F.transform(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,9 +10,11 @@ import pyarrow as pa
 
 #: Bytes that are worked on at once; a longer text is taken alone.
 PIECE = 2 << 20
-#: Base of the polynomial hash of a word, and its inverse modulo 2^64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of a run over which it is hashed alone.
+LONG = 256
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 bytes of eight.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _byte = np.arange(256)
 IS_UPPER = (_byte >= 65) & (_byte <= 90)
@@ -56,13 +59,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words start and end; none crosses from one text into the next."""
     inside = IS_WORD[data]
@@ -76,20 +72,26 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of bytes: eight at a time, chained through mix(); runs over LONG bytes by BLAKE2.
+
+    Runs of one length of up to eight bytes have one hash only if they are equal.
+    """
+    sizes = ends - starts
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(eights[starts] & FIRST[np.minimum(sizes, 8)])
+    todo, at = np.flatnonzero((sizes > 8) & (sizes <= LONG)), 8
+    while len(todo):
+        left = sizes[todo] - at
+        out[todo] = mix((out[todo] + GOLDEN) ^ (eights[starts[todo] + at] & FIRST[np.minimum(left, 8)]))
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out + sizes.astype(np.uint64) * GOLDEN
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, *heads: int) -> list[np.ndarray]:
     """64-bit hashes of the lower-cased words, then of their first so many bytes for each of ``heads``."""
-    out = [np.empty(len(starts), np.uint64) for _ in (0, *heads)]
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
-        base = starts[at]
-        part = LOWERED[data[base : ends[stop - 1]]].astype(np.uint64)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * powers(BASE, len(part)), out=sums[1:])
-        first, last = starts[at:stop] - base, ends[at:stop] - base
-        back = powers(INVERSE, len(part))[first]
-        for k, size in enumerate((None, *heads)):
-            end = last if size is None else np.minimum(last, first + size)
-            out[k][at:stop] = mix((sums[end] - sums[first]) * back + (end - first).astype(np.uint64))
-        at = stop
-    return out
+    low = LOWERED[data]
+    return [run_hashes(low, starts, ends)] + [run_hashes(low, starts, np.minimum(ends, starts + size)) for size in heads]

@@ -12,9 +12,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-from chatlens.llm.textbytes import BASE, INVERSE, PIECE, mix, powers
+from chatlens.llm.textbytes import PIECE, run_hashes
 
-#: Different words that are kept; with more, the store starts anew.
+#: Different words that are kept, with their bytes; with more, the store starts anew.
 KEPT_WORDS = 500_000
 SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
 
@@ -81,17 +81,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes, never 0, of the words."""
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE, "right")))
-        base = starts[at]
-        part = low[base : ends[stop - 1]].astype(np.uint64)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * powers(BASE, len(part)), out=sums[1:])
-        first, last = starts[at:stop] - base, ends[at:stop] - base
-        out[at:stop] = mix((sums[last] - sums[first]) * powers(INVERSE, len(part))[first] + (last - first).astype(np.uint64))
-        at = stop
+    out = run_hashes(low, starts, ends)
     out[out == 0] = 1
     return out
 
@@ -99,6 +89,9 @@ def hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class WordStore:
     """Token ids of words, side by side in one array, found by the words' hashes; each new word is encoded once.
 
+    A hash only says where to look: words are compared with the one that is
+    kept there, and one that differs is encoded by itself.
+
     ``encode`` takes a list of different words as bytes and gives their ids in
     one array, and how many each has.  ``encode_odd`` takes an odd text and
     gives its ids.
@@ -117,6 +110,11 @@ class WordStore:
         self.count = np.empty(1 << 14, np.int32)
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
+        #: The words' bytes, side by side, where each begins, and how many it has.
+        self.letters = np.empty(1 << 17, np.uint8)
+        self.place = np.empty(1 << 14, np.int64)
+        self.size = np.empty(1 << 14, np.int64)
+        self.lettered = 0
 
     def _find(self, wanted: np.ndarray) -> np.ndarray:
         """Numbers of the words with these hashes, -1 for new ones: open addressing, all at once."""
@@ -144,8 +142,29 @@ class WordStore:
             left = left[self.keys[slot[left]] != new[left]]
             slot[left] = (slot[left] + 1) & (self.slots - 1)
 
-    def _add(self, new: np.ndarray, words: list[bytes]) -> None:
+    def _keep(self, words: list[bytes]) -> np.ndarray:
+        """Encodes words and gives their numbers."""
         flat, counts = self.encode(words)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        total = self.words + len(words)
+        for name, used, more in (
+            *((name, self.words, len(words)) for name in ("begin", "count", "place", "size")),
+            ("flat", self.used, len(flat)),
+            ("letters", self.lettered, len(letters)),
+        ):
+            held = getattr(self, name)
+            if used + more > len(held):
+                setattr(self, name, np.concatenate([held[:used], np.empty(max(len(held), more), held.dtype)]))
+        own = slice(self.words, total)
+        self.begin[own], self.count[own] = self.used + np.cumsum(counts) - counts, counts
+        self.place[own], self.size[own] = self.lettered + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.letters[self.lettered : self.lettered + len(letters)] = letters
+        self.words, self.used, self.lettered = total, self.used + len(flat), self.lettered + len(letters)
+        return np.arange(own.start, own.stop, dtype=np.int32)
+
+    def _add(self, new: np.ndarray, words: list[bytes]) -> None:
         total = self.words + len(new)
         if 2 * total > self.slots:
             known = self.keys != 0
@@ -154,15 +173,25 @@ class WordStore:
                 self.slots *= 4
             self.keys, self.values = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
             self._put(keys, values)
-        self._put(new, np.arange(self.words, total, dtype=np.int32))
-        for name, used, more in (("begin", self.words, len(new)), ("count", self.words, len(new)), ("flat", self.used, len(flat))):
-            held = getattr(self, name)
-            if used + more > len(held):
-                setattr(self, name, np.concatenate([held[:used], np.empty(max(len(held), more), held.dtype)]))
-        self.begin[self.words : total] = self.used + np.cumsum(counts) - counts
-        self.count[self.words : total] = counts
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.words, self.used = total, self.used + len(flat)
+        self._put(new, self._keep(words))
+
+    def _differing(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The words that are not the kept ones of their hashes."""
+        sizes = ends - starts
+        wrong = sizes != self.size[number]
+        # Hashes of up to eight bytes say all; see run_hashes().
+        longer = np.flatnonzero((sizes > 8) & ~wrong)
+        upto, at = np.cumsum(sizes[longer]), 0
+        while at < len(longer):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE, "right")))
+            part = longer[at:stop]
+            n = sizes[part]
+            from_start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            unlike = low[np.repeat(starts[part], n) + from_start] != self.letters[np.repeat(self.place[number[part]], n) + from_start]
+            if unlike.any():
+                wrong[np.repeat(part, n)[unlike]] = True
+            at = stop
+        return np.flatnonzero(wrong)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's begin; the last entry is the end."""
@@ -181,6 +210,12 @@ class WordStore:
             raw = low.tobytes()
             self._add(new, [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())])
             number = self._find(wanted)
+        others = self._differing(low, starts, ends, number)
+        if len(others):
+            own = [low[a:b].tobytes() for a, b in zip(starts[others].tolist(), ends[others].tolist())]
+            different = dict.fromkeys(own)
+            known = dict(zip(different, self._keep(list(different)).tolist()))
+            number[others] = [known[w] for w in own]
         counts = self.count[number].astype(np.int64)
         to = np.cumsum(counts)
         flat = self.flat[np.repeat(self.begin[number] - (to - counts), counts) + np.arange(to[-1] if len(to) else 0)]

@@ -1,6 +1,7 @@
 """Decontamination, URL rules and models, fingerprints and chats, without Python on the main path."""
 
 import hashlib
+import random
 import math
 import re
 from collections import Counter, defaultdict
@@ -225,15 +226,40 @@ def test_parts_become_placeholders_in_order(spark):
     frame = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts array<{chat_format.PART}>")
     made = {r.conv_id: r for r in chat_format.format_chats(frame).collect()}
     assert made[1].formatted == (
-        "<|turn|>user<|body|>see <|image|><|audio|><|end|><|turn|>assistant<|body|><\\|image|> no<|document|><|end|><|turn|>user<|body|><|end|>"
+        "<|turn|>user<|body|>see <|part:image|><|part:audio|><|end|><|turn|>assistant<|body|><\\|image|> no<|part:document|><|end|><|turn|>user<|body|><|end|>"
     )
     assert [tuple(a) for a in made[1].attachments] == [("image", "a.png", 576), ("audio", "b.wav", 40), ("document", "c.pdf", 2048)]
     assert made[None].n_turns == 1
     under = [made[1].formatted.split("<|end|>")[k][m.skip : m.skip + m.take] for k, m in enumerate(made[1].loss_mask)]
-    assert under == ["", "<\\|image|> no<|document|>", ""]
+    assert under == ["", "<\\|image|> no<|part:document|>", ""]
     assert chat_format.format_chats(frame.limit(0)).count() == 0
 
 
+def test_random_parts_come_back(spark):
+    pick, bits = random.Random(11), ["<", "\\", "|", "end", "turn", "body", ">", "part:image", "é", ""]
+    kinds = ["text"] * 6 + [None, "image", "audio", "document", "end", "turn", "body", "part:image", "a|>b", ""]
+    part = lambda: (pick.choice(kinds), "".join(pick.choice(bits) for _ in range(pick.randint(0, 4))), "r", 1)
+    rows = [(c, t, pick.choice(["user", "assistant", "<|end|>", "<"]), [part() for _ in range(pick.randint(0, 6))]) for c in range(150) for t in range(3)]
+    frame = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts array<{chat_format.PART}>")
+    made = chat_format.format_chats(frame)
+    shown = lambda k: chat_format.PLACEHOLDERS.get("document" if k is None else k, chat_format.OTHER_PLACEHOLDER)
+    for row in chat_format.read_chats(made).collect():
+        own = [r for r in rows if r[0] == row.conv_id]
+        texts = ["".join(p[1] if p[0] == "text" else shown(p[0]) for p in r[3]) for r in own]
+        assert [(t.role, t.text) for t in row.turns] == [(r[2], text) for r, text in zip(own, texts)]
+        assert "".join(row.loss_texts) == "".join(text for r, text in zip(own, texts) if r[2] == "assistant")
+        assert row.formatted.count("<|end|>") == row.formatted.count("<|body|>") == row.formatted.count("<|turn|>") == 3
+    held = {r.conv_id: [a.kind for a in r.attachments] for r in made.collect()}
+    assert all(held[c] == ["document" if p[0] is None else p[0] for r in rows if r[0] == c for p in r[3] if p[0] != "text"] for c in held)
+
+
+def test_broken_texts_are_read(spark):
+    mask = "array(named_struct('skip', 1, 'take', 1))"
+    rows = spark.sql(f"SELECT * FROM VALUES (1, '', {mask}), (2, '<|end|>', {mask}), (3, '<|turn|>a<|end|><|turn|>b<|body|>c', {mask}) AS t(conv_id, formatted, loss_mask)")
+    found = {r.conv_id: [tuple(t) for t in r.turns] for r in chat_format.read_chats(rows).collect()}
+    assert found == {1: [], 2: [("", "")], 3: [("a", "")]}
+
+
 def test_repeated_turns_stay(spark):
     frame = spark.createDataFrame([(1, 0, "user", "a")] * 3, "conv_id bigint, turn bigint, role string, text string")
     made = chat_format.format_chats(frame.withColumn("parts", chat_format.text_part(F.col("text"))))

@@ -15,7 +15,7 @@ REPO = Path(__file__).resolve().parent.parent.parent
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = list(llm_queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) < set(queries()) and "pipeline" in queries()
 
 

@@ -101,3 +101,42 @@ def test_files_come_back_in_order(spark, library, odd_documents, no_documents, t
         start += row.n_tokens
     token_files.write_tokens(no_documents, PATH, str(tmp_path / "none"), 1)
     assert token_files.read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+def thue_morse(letters):
+    """Two words of 1,024 letters that any polynomial modulo 2^64 takes for one."""
+    order = [bin(i).count("1") % 2 for i in range(1 << 10)]
+    return "".join(letters[k] for k in order), "".join(letters[1 - k] for k in order)
+
+
+@pytest.mark.parametrize("kind", ["trie", "library"])
+@pytest.mark.parametrize("same", ["by polynomial", "by any hash"])
+def test_words_of_one_hash_keep_their_own_ids(library, kind, same, monkeypatch):
+    from chatlens.llm import tokens
+
+    if same == "by any hash":
+        monkeypatch.setattr(tokens, "hashes", lambda low, starts, ends: np.where(ends - starts > 8, 1, tokens.run_hashes(low, starts, ends)))
+    vocabulary = bpe.Vocabulary(PATH)
+    for batches in ([[*thue_morse("ab")]], [[w] for w in thue_morse("ab")], [["somewhat longer", "otherwise longest"], ["somewhere elsewhere somewhat"]]):
+        token_files._STORES.clear()
+        store = WordStore(vocabulary.encode_words, vocabulary.encode_text) if kind == "trie" else token_files.library_store(PATH)
+        for texts in batches:
+            flat, begins = store.ids(*text_bytes(pa.array(texts)))
+            for i, text in enumerate(texts):
+                assert flat[begins[i] : begins[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+    token_files._STORES.clear()
+
+
+def test_hashes_of_runs_tell_them_apart():
+    from chatlens.llm.textbytes import run_hashes, word_hashes
+
+    pick = random.Random(5)
+    words = {bytes(pick.choice(b"abcd") for _ in range(n)) for n in [*range(1, 40), 255, 256, 257, 1000] for _ in range(60)}
+    words = sorted(words | {w.encode() for w in thue_morse("ab")})
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    sizes = np.array([len(w) for w in words])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    assert len(set(run_hashes(data, starts, starts + sizes).tolist())) == len(words)
+    whole, head = word_hashes(data, starts, starts + sizes, 3)
+    assert [len(set(x.tolist())) for x in (whole, head)] == [len(words), len({w[:3] for w in words})]
+    assert run_hashes(data[:0], starts[:0], starts[:0]).tolist() == []
