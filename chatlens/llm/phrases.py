@@ -23,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import map_arrow, ship, written
-from chatlens.llm.fm_index import BiIndex, holders
+from chatlens.llm.common import drop, give_back, map_arrow, ship, steady_memory, written
+from chatlens.llm.fm_index import BiIndex, holders, transform
 from chatlens.llm.textbytes import LOWERED, pieces, text_bytes
 
 #: Bytes of text in a shard; a longer text is one alone.
-SHARD = 8 << 20
+SHARD = 6 << 20
+#: Frequent phrases of one size, two or three numbers or one word each, that are sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 #: What stands for a language that is null.
 NO_LANGUAGE = "und"
 #: Scores are parts of so many halves: twice the share of a phrase in its parts.
@@ -40,11 +42,19 @@ IS_BORDER = np.isin(_byte, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    return pa.compress(numbers.astype("<i4").tobytes(), codec="zstd", asbytes=True)
+    """Numbers compressed, their low bytes apart from their high ones."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(held: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(held, 4 * n, codec="zstd", asbytes=True), "<i4")
+    planes = np.frombuffer(pa.decompress(held, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _matched(frame: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join with frequent phrases, which are broadcast if there are at most BROADCAST_ROWS of them."""
+    return frame.join(F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent, keys)
 
 
 def shard_words(data: np.ndarray, offsets: np.ndarray, language: np.ndarray, languages: int) -> tuple:
@@ -134,38 +144,12 @@ def _shards(documents: DataFrame) -> DataFrame:
     return written(map_arrow(texts, run, schema), "phrase-shards")
 
 
-PAIRS = "shard bigint, length bigint, symbols int, forward binary, backward binary, low int, back int, n bigint, head bigint, tail bigint"
-
-
-def _index_rows(shard: int, index: BiIndex, symbols: int) -> dict:
-    return {
-        "shard": pa.array([shard]),
-        "length": pa.array([len(index.forward)]),
-        "symbols": pa.array([symbols], pa.int32()),
-        "forward": pa.array([_packed(index.forward)], pa.binary()),
-        "backward": pa.array([_packed(index.backward)], pa.binary()),
-        "low": pa.nulls(1, pa.int32()),
-        "back": pa.nulls(1, pa.int32()),
-        "n": pa.nulls(1, pa.int64()),
-        "head": pa.nulls(1, pa.int64()),
-        "tail": pa.nulls(1, pa.int64()),
-    }
-
-
-def _pair_rows(shard: int, low, back, n, head, tail) -> dict:
-    rows = len(low)
-    return {
-        "shard": pa.array(np.full(rows, shard)),
-        "length": pa.nulls(rows, pa.int64()),
-        "symbols": pa.nulls(rows, pa.int32()),
-        "forward": pa.nulls(rows, pa.binary()),
-        "backward": pa.nulls(rows, pa.binary()),
-        "low": pa.array(low, pa.int32()),
-        "back": pa.array(back, pa.int32()),
-        "n": pa.array(n, pa.int64()),
-        "head": pa.array(head, pa.int64()),
-        "tail": pa.array(tail, pa.int64()),
-    }
+PAIRS = "shard bigint, low int, back int, n bigint, head bigint, tail bigint"
+
+
+def _pair_rows(shard: int, low, back, n, head, tail) -> pa.Table:
+    columns = [np.full(len(low), shard, np.int64), low.astype(np.int32), back.astype(np.int32), n, head, tail]
+    return pa.table([pa.array(c) for c in columns], names=["shard", "low", "back", "n", "head", "tail"])
 
 
 def grown(index: BiIndex, low: np.ndarray, back: np.ndarray, n: np.ndarray, number: np.ndarray, left: bool) -> tuple:
@@ -181,54 +165,75 @@ def grown(index: BiIndex, low: np.ndarray, back: np.ndarray, n: np.ndarray, numb
     return found.low[whole], found.back[whole], found.count[whole], *((other, own) if left else (own, other))
 
 
-def _first_pairs(shards: DataFrame, words: DataFrame, depth: int) -> DataFrame:
-    """Each shard's index, and the pairs of frequent words in it."""
-    known = shards.where("word IS NOT NULL").join(words.select("lang", "word", F.col("gram").alias("gram")), ["lang", "word"])
+def _sequences(shards: DataFrame, words: DataFrame) -> DataFrame:
+    """Written rows (shard, grams, length, sequence): each shard's numbers of frequent words, by place in ``grams``."""
+    known = _matched(shards.where("word IS NOT NULL"), words.select("lang", "word", "gram"), ["lang", "word"])
 
     def run(sequences: pa.Table, known: pa.Table) -> pa.Table:
         if not sequences.num_rows or not known.num_rows:
-            return pa.Table.from_batches([], SCHEMA)
+            return pa.table([pa.array([], t) for t in kinds], names=names)
         shard, length, held = (sequences.column(c)[0].as_py() for c in ("shard", "length", "sequence"))
-        gram, local = (known.column(c).to_numpy() for c in ("gram", "number"))
-        order = np.argsort(gram)
-        numbers, symbol = gram[order], np.zeros(int(length) + 1, np.int32)
+        gram, local, n = (known.column(c).to_numpy() for c in ("gram", "number", "n"))
+        steady_memory()
+        # Common words have low numbers, which take little room.
+        order = np.lexsort((gram, -n))
+        symbol = np.zeros(int(length) + 1, np.int64)
         symbol[local[order]] = np.arange(1, len(order) + 1)
         sequence = symbol[_unpacked(held, length)]
         # Borders side by side are one.
         sequence = sequence[np.append(True, (sequence[1:] != 0) | (sequence[:-1] != 0))]
-        index = BiIndex.build(sequence, depth, len(numbers))
-        single = index.words()
-        rows = grown(index, single.low, single.back, single.count, numbers, True)
-        tables = [pa.Table.from_pydict(_index_rows(shard, index, len(numbers))), pa.Table.from_pydict(_pair_rows(shard, *rows))]
-        return pa.concat_tables(tables).cast(SCHEMA)
+        give_back()
+        row = [[shard], [gram[order].astype("<i8").tobytes()], [len(sequence)], [_packed(sequence)]]
+        return pa.table([pa.array(c, t) for c, t in zip(row, kinds)], names=names)
 
+    names, kinds = ["shard", "grams", "length", "sequence"], [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
     sequences = shards.where("sequence IS NOT NULL").select("shard", "length", "sequence")
-    both = sequences.groupBy("shard").cogroup(known.select(F.col("shard").alias("of"), "number", "gram").groupBy("of"))
-    return written(both.applyInArrow(run, PAIRS), "phrase-pairs")
+    known = known.select(F.col("shard").alias("of"), "number", "gram", "n")
+    both = sequences.groupBy("shard").cogroup(known.groupBy("of"))
+    return written(both.applyInArrow(run, "shard bigint, grams binary, length bigint, sequence binary"), "phrase-sequences")
 
 
-SCHEMA = pa.schema(
-    [("shard", pa.int64()), ("length", pa.int64()), ("symbols", pa.int32()), ("forward", pa.binary()), ("backward", pa.binary())]
-    + [("low", pa.int32()), ("back", pa.int32()), ("n", pa.int64()), ("head", pa.int64()), ("tail", pa.int64())]
-)
+def _index(length: int, grams: bytes, held: bytes, depth: int, left: bool) -> tuple[BiIndex, np.ndarray]:
+    """The index of a shard, with the transform that extensions to one side need, and the numbers of its words."""
+    numbers, sequence = np.frombuffer(grams, "<i8"), _unpacked(held, length)
+    one = transform(sequence if left else sequence[::-1], depth)
+    return BiIndex(*((one, None) if left else (None, one)), len(numbers)), numbers
 
 
-def _next_pairs(indexes: DataFrame, pairs: DataFrame, grams: DataFrame, left: bool) -> DataFrame:
-    """The phrases one word longer than the frequent ones, in each shard, by the transform that the side needs."""
-    indexes = indexes.select("shard", "length", "symbols", F.col("forward" if left else "backward").alias("packed"))
-    frequent = pairs.join(grams.select("head", "tail", "gram"), ["head", "tail"]).select(F.col("shard").alias("of"), "low", "back", "n", "gram")
+def _first_pairs(sequences: DataFrame, depth: int) -> DataFrame:
+    """The pairs of frequent words in each shard."""
 
-    def run(index: pa.Table, known: pa.Table) -> pa.Table:
-        if not index.num_rows or not known.num_rows:
-            return pa.Table.from_batches([], SCHEMA)
-        length, symbols, packed = (index.column(c)[0].as_py() for c in ("length", "symbols", "packed"))
-        own = _unpacked(packed, length)
-        held = BiIndex(*((own, None) if left else (None, own)), symbols)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                index, numbers = _index(row["length"], row["grams"], row["sequence"], depth, True)
+                single = index.words()
+                rows = grown(index, single.low, single.back, single.count, numbers, True)
+                yield from _pair_rows(row["shard"], *rows).to_batches()
+
+    return written(map_arrow(sequences, run, PAIRS), "phrase-pairs")
+
+
+def _next_pairs(sequences: DataFrame, pairs: DataFrame, grams: DataFrame, depth: int, left: bool) -> DataFrame:
+    """The phrases one word longer than the frequent ones, in each shard."""
+    frequent = _matched(pairs, grams.select("head", "tail", "gram"), ["head", "tail"])
+    frequent = frequent.select(F.col("shard").alias("of"), "low", "back", "n", "gram")
+
+    def run(sequence: pa.Table, known: pa.Table) -> pa.Table:
+        none = np.empty(0, np.int64)
+        if not sequence.num_rows or not known.num_rows:
+            return _pair_rows(0, none, none, none, none, none)
+        shard, held, length, packed = (sequence.column(c)[0].as_py() for c in ("shard", "grams", "length", "sequence"))
+        index, _ = _index(length, held, packed, depth, left)
         known = known.sort_by("low")
         low, back, n, gram = (known.column(c).to_numpy().astype(np.int64) for c in ("low", "back", "n", "gram"))
-        return pa.Table.from_pydict(_pair_rows(index.column("shard")[0].as_py(), *grown(held, low, back, n, gram, left))).cast(SCHEMA)
+        steady_memory()
+        rows = _pair_rows(shard, *grown(index, low, back, n, gram, left))
+        give_back()
+        return rows
 
-    both = indexes.groupBy("shard").cogroup(frequent.groupBy("of"))
+    both = sequences.groupBy("shard").cogroup(frequent.groupBy("of"))
     return written(both.applyInArrow(run, PAIRS), "phrase-pairs")
 
 
@@ -249,7 +254,7 @@ def phrase_counts(documents: DataFrame, longest: int = 4, least: int = 30) -> tu
     shards = _shards(documents)
     ship(spark)
     counted = shards.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("a"))
-    totals = shards.where("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = written(shards.where("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     words = written(counted.where(F.col("a") >= least).withColumn("gram", F.monotonically_increasing_id()), "phrase-grams")
     level = words.select(
         "gram",
@@ -260,10 +265,10 @@ def phrase_counts(documents: DataFrame, longest: int = 4, least: int = 30) -> tu
         F.array("a").alias("heads"),
         F.array("a").alias("tails"),
     )
-    pairs, levels = _first_pairs(shards, words, longest), []
-    indexes = pairs.where("forward IS NOT NULL").select("shard", "length", "symbols", "forward", "backward")
+    sequences = _sequences(shards, words)
+    drop(shards)
+    pairs, levels = _first_pairs(sequences, longest), []
     for size in range(2, longest + 1):
-        pairs = pairs.where("head IS NOT NULL")
         grams = pairs.groupBy("head", "tail").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         grams = written(grams.withColumn("gram", F.monotonically_increasing_id()), "phrase-grams")
         either = grams.select(F.explode(F.array("head", "tail")).alias("gram"), "a")
@@ -286,8 +291,11 @@ def phrase_counts(documents: DataFrame, longest: int = 4, least: int = 30) -> tu
             ),
             "phrase-level",
         )
+        spent = pairs
         if size < longest:
-            pairs = _next_pairs(indexes, pairs, grams, left=size % 2 == 1)
+            pairs = _next_pairs(sequences, pairs, grams, longest, left=size % 2 == 1)
+        drop(spent)
+    drop(sequences)
     levels.append(level.withColumns({"longer": F.lit(0).cast("bigint"), "size": F.lit(longest)}))
     phrases = levels[0]
     for each in levels[1:]:
