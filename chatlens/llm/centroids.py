@@ -41,7 +41,8 @@ def nearest(vector: Column, centroids: list[list[int]]) -> Column:
     def distance(centroid: Column) -> Column:
         return F.aggregate(F.zip_with(vector, centroid, lambda a, b: a - b), zero, lambda total, d: total + d * d)
 
-    placed = F.lit(centroids).cast("array<array<bigint>>")
+    rows = (",".join(f"{x}L" for x in c) for c in centroids)
+    placed = F.expr(f"array({','.join(f'array({row})' for row in rows)})")
     return F.array_min(F.transform(placed, lambda c, i: F.struct(distance(c).alias("distance"), i.cast("int").alias("cluster"))))
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting that removes a query's shuffle files when it has ended.
+SHUFFLE_FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that every executor can read, named by spark.checkpoint.dir.
 
@@ -44,37 +51,87 @@ def ship(spark: SparkSession) -> None:
     context._chatlens_sent = True
 
 
+def steady_memory() -> None:
+    """Makes this process map arrays of over 1 MB by themselves, so that each is returned to the system when freed."""
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)
+
+
+def give_back() -> None:
+    """Returns free memory of this process to the system, as a worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(frame: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with this package at hand in the workers."""
+
+    def and_give_back(batches):
+        steady_memory()
+        yield from run(batches)
+        give_back()
+
     ship(frame.sparkSession)
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(and_give_back, schema)
+
+
+class Scratch:
+    """Holds the scratch tables that are written while it is entered, until clear().
+
+    Tables that no Scratch holds stay in the shared folder unless they are
+    dropped, as their callers may still read them.
+    """
+
+    _entered: list[Scratch] = []
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        self._entered.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._entered.remove(self)
+
+    def clear(self) -> None:
+        """Deletes the tables; nothing that reads them may be left."""
+        while self.tables:
+            drop(self.tables.pop())
 
 
 def cut(frame: DataFrame) -> DataFrame:
     """The frame written to the shared folder and read back, so that its lineage ends here."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
+    return written(frame, "cut")
 
 
 def written(frame: DataFrame, kind: str, scratch: bool = True) -> DataFrame:
     """The frame as a Parquet table in the shared folder: compressed, where checkpoint() is not.
 
-    A ``scratch`` table lasts until clear_scratch().
+    Once the table is there, the shuffle files that made it go.  A ``scratch``
+    table is held by the Scratch that is entered, if any.
     """
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/chatlens-{kind}-{uuid.uuid4().hex}"
-    if scratch:
-        spark.sparkContext.__dict__.setdefault("_chatlens_scratch", []).append(path)
-    frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables that this session has written; nothing that reads them may be left."""
-    paths = spark.sparkContext.__dict__.get("_chatlens_scratch", [])
-    while paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    before = spark.conf.get(SHUFFLE_FILES_GO, "false")
+    spark.conf.set(SHUFFLE_FILES_GO, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_FILES_GO, before)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.written_to = path
+    if scratch and Scratch._entered:
+        Scratch._entered[-1].tables.append(out)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by written(); nothing that reads them may be left."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.llm.common import cut, map_arrow, ship, written
+from chatlens.llm.common import cut, drop, map_arrow, ship, written
 from chatlens.llm.textbytes import mix, pieces, text_bytes, word_bounds, word_hashes
 
 SHINGLE = 5
@@ -51,7 +51,7 @@ MET = 4096
 #: Members of a bucket, or texts with a common region, of which all pairs are made as rows.
 FEW = 64
 #: Texts, and bytes of their regions, that a block holds when blocks are compared.
-BLOCK, BLOCK_BYTES = 512, 2 << 20
+BLOCK, BLOCK_BYTES = 1024, 2 << 20
 #: Counters of how common regions are; those that share one count as equally common.
 SLOTS = 1 << 18
 
@@ -220,15 +220,18 @@ def components(links: DataFrame) -> DataFrame:
     ways = links.unionAll(links.select("b", "a")).unionAll(links.select("a", "a")).unionAll(links.select("b", "b"))
     ways = cut(ways.toDF("key", "other").distinct())
     state = ways.groupBy("key").agg(F.min("other").alias("root"))
-    before = None
+    before = last = None
     while True:
         near = state.toDF("root", "further")
         state = cut(state.join(near, "root").select("key", F.col("further").alias("root")))
+        if last is not None:
+            drop(last)
         # What all roots come to, as a number: the same twice means that none moved.
         now = state.agg(F.sum(F.xxhash64("key", "root").cast("decimal(38,0)"))).first()[0]
         if now == before:
+            drop(ways)
             return state
-        before = now
+        before, last = now, state
         at = state.toDF("other", "root")
         state = ways.join(at, "other").groupBy("key").agg(F.min("root").alias("root"))
 
@@ -385,29 +388,39 @@ def block_links(rows: pd.DataFrame) -> pd.DataFrame:
 def _in_blocks(rows: DataFrame, held: DataFrame) -> DataFrame:
     """Links between texts of different groups among those that share a region, for regions of many texts.
 
-    Rows are (region, node, root, size, found, main); main is the root of a
+    Rows are (region, node, root, size, found, n, main); main is the root of a
     region's largest group, of which no two are compared.  Nor are two of
-    which neither is found by the region.  Each of the four kinds of texts is
-    dealt into blocks, and two blocks meet in a task.
+    which neither is found by the region, or of which one is too short for the
+    other.  Each text is dealt into one block, with others of its most common
+    region; main groups have blocks of their own.  Two blocks that hold such a
+    pair meet once, in a task, however many regions they share.
     """
     active = F.col("root") != F.col("main")
-    kind = F.when(~F.col("found"), F.when(active, 3).otherwise(0)).otherwise(F.when(active, 2).otherwise(1))
-    rows = rows.withColumn("kind", kind)
-    n = [F.count(F.when(F.col("kind") == k, 1)) for k in range(4)]
-    held_bytes = [F.coalesce(F.sum(F.when(F.col("kind") == k, 5 * F.col("size"))), F.lit(0)) for k in range(4)]
-    ends = rows.groupBy("region").agg(*[F.ceil(F.greatest(n[k] / BLOCK, held_bytes[k] / BLOCK_BYTES)).cast("int").alias(f"p{k}") for k in range(4)])
-    o = [F.lit(0), F.col("p0"), F.expr("p0 + p1"), F.expr("p0 + p1 + p2"), F.expr("p0 + p1 + p2 + p3")]
-    at = F.pmod(F.xxhash64("node", "region"), F.greatest(F.element_at(F.array("p0", "p1", "p2", "p3"), F.col("kind") + 1), F.lit(1)))
-    block = (F.element_at(F.array(*o), F.col("kind") + 1) + at).cast("int")
-    # Blocks in the order of kinds, so that those which a kind meets are side by side.
-    low, high = (F.element_at(F.array(*[o[k] for k in ks]), F.col("kind") + 1) for ks in ((2, 2, 0, 1), (3, 4, 4, 3)))
-    met = F.when(low < high, F.sequence(low, high - 1))
-    rows = rows.join(ends, "region").select("region", "node", "root", block.alias("block"), met.alias("met"))
-    rows = rows.select("region", "node", "root", "block", F.explode("met").alias("other"))
-    rows = rows.select("region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root")
-    rows = rows.join(held.withColumnRenamed("key", "node"), "node")
+    home = F.max(F.struct("n", "region", active.alias("active")))
+    texts = rows.groupBy("node", "root", "size").agg(home.alias("home"))
+    texts = texts.select("node", "root", "size", F.col("home.region").alias("home"), F.col("home.active").alias("active"))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(5 * F.col("size")) / BLOCK_BYTES)).alias("parts")
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    dealt = texts.join(texts.groupBy("home", "active").agg(parts), ["home", "active"])
+    blocks = written(dealt.select("node", "root", F.xxhash64("home", "active", part).alias("block")), "blocks")
+    sides = (
+        rows.join(blocks.select("node", "block"), "node")
+        .groupBy("region", "block")
+        .agg(F.max("found").alias("found"), F.max(active).alias("active"), F.min("size").alias("least"), F.max("size").alias("most"))
+    )
+    sides = written(sides, "sides")
+    x, y = sides.alias("x"), sides.alias("y")
+    near = (F.col("x.most") >= SIMILARITY * F.col("y.least") - 1e-6) & (F.col("y.most") >= SIMILARITY * F.col("x.least") - 1e-6)
+    meet = (F.col("x.region") == F.col("y.region")) & (F.col("x.block") <= F.col("y.block")) & near
+    meet &= (F.col("x.found") | F.col("y.found")) & (F.col("x.active") | F.col("y.active"))
+    pairs = written(x.join(y, meet).select(F.col("x.block").alias("i"), F.col("y.block").alias("j")).distinct(), "meetings")
+    ends = pairs.select("i", "j", F.col("i").alias("block")).unionAll(pairs.where("i <> j").select("i", "j", F.col("j").alias("block")))
+    filled = blocks.join(held.withColumnRenamed("key", "node"), "node")
+    met = ends.join(filled, "block").select("i", "j", "block", "node", "root", "regions")
     ship(rows.sparkSession)
-    return rows.groupBy("region", "i", "j").applyInPandas(lambda met: block_links(met[["block", "node", "root", "regions"]]), "a binary, b binary")
+    links = cut(met.groupBy("i", "j").applyInPandas(lambda own: block_links(own[["block", "node", "root", "regions"]]), "a binary, b binary"))
+    drop(blocks, sides, pairs)
+    return links
 
 
 def _rest(buckets: DataFrame, nodes: DataFrame, held: DataFrame, groups: DataFrame, tried: DataFrame) -> DataFrame:
@@ -441,7 +454,7 @@ def _rest(buckets: DataFrame, nodes: DataFrame, held: DataFrame, groups: DataFra
         rows = written(rows.join(shared, "region"), "shared")
         fits = F.col("x.found") & (F.col("x.size") <= F.col("y.size")) & (F.col("x.size") >= SIMILARITY * F.col("y.size") - 1e-6)
         pairs = pairs.unionAll(paired(rows.where(F.col("n") <= FEW), "region", fits)).distinct()
-        links = cut(_in_blocks(rows.where(F.col("n") > FEW), held))
+        links = _in_blocks(rows.where(F.col("n") > FEW), held)
     more = written(_agreeing(pairs.join(tried, ["a", "b"], "left_anti"), nodes), "pairs")
     more = _linked(more, held)
     return more.unionAll(links) if links is not None else more

@@ -178,13 +178,15 @@ def _mapped(documents: DataFrame, columns: list[str], field: T.StructField, valu
     kept = documents.select(*[c for c in columns if c != field.name])
     schema = T.StructType([*kept.schema.fields, field])
     names = schema.names
+    # A text that is among the columns is sent once.
+    text, more = ("text", []) if "text" in kept.columns else ("__text", [F.col("text").alias("__text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "__text"):
-            made = value(statistics(*text_bytes(batch.column("__text"))))
+        for batch in pieces(batches, text):
+            made = value(statistics(*text_bytes(batch.column(text))))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], made], names=names)
 
-    return map_arrow(documents.select(*kept.columns, F.col("text").alias("__text")), run, schema)
+    return map_arrow(documents.select(*kept.columns, *more), run, schema)
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Trees:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chatlens.llm.common import map_arrow, ship, written
+from chatlens.llm.common import give_back, map_arrow, ship, steady_memory, written
 from chatlens.llm.suffix_runs import BEFORE, GRAM, MATCH, SPAN, WIDTH, Run, anchors, front_code, merge, records, sorted_run
 from chatlens.llm.textbytes import mix, pieces, text_bytes
 
@@ -158,7 +158,8 @@ def _packed(documents: DataFrame) -> DataFrame:
 def _hash_messages(chunks: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
                 chunk = Chunk(row["rows"], row["places"])
                 marked = chunk.hashes << np.uint64(1) | chunk.shared().astype(np.uint64)
                 found = [(part, _pack_sorted(marked[own])) for part, own in chunk.parts(bits)]
@@ -180,11 +181,13 @@ HASHES, MASKS = 0, 1
 
 def _hash_replies(rows: pd.DataFrame) -> pd.DataFrame:
     """For each chunk, a bit for each hash that it sent: whether more documents have it."""
-    sent = [_unpack_sorted(m) for m in rows.message]
-    every = np.sort(np.concatenate([s >> np.uint64(1) for s in sent]))
+    every = np.concatenate([_unpack_sorted(m) >> np.uint64(1) for m in rows.message])
+    every.sort()
     twice = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
     out = []
-    for chunk, own in zip(rows.chunk, sent):
+    for chunk, message in zip(rows.chunk, rows.message):
+        own = _unpack_sorted(message)
         plain = own >> np.uint64(1)
         hit = np.isin(plain, twice, assume_unique=True) | (own & np.uint64(1)).astype(bool)
         out.append((chunk, HASHES, rows.part.iat[0], np.packbits(hit).tobytes()))
@@ -193,6 +196,7 @@ def _hash_replies(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _runs_of(bits: int, splitters: list[bytes]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        steady_memory()
         out: list[tuple] = []
         for row in left.to_pylist():
             chunk = Chunk(row["rows"], row["places"])
@@ -206,6 +210,7 @@ def _runs_of(bits: int, splitters: list[bytes]):
                     message = _squeeze(np.int64(b - a).tobytes() + owners[a:b].tobytes() + shared + rest)
                     out.append((part, row["chunk"], message))
         columns = list(zip(*out)) or [[], [], []]
+        give_back()
         return pa.table(
             [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())],
             names=["part", "chunk", "message"],
@@ -343,8 +348,16 @@ def _removed(chunk: Chunk, bits: int, replies: list[dict]) -> np.ndarray:
         for o in range(SPAN):
             hit = (mask >> np.uint32(o) & np.uint32(1)).astype(bool) | (again & (whole_left >= o) & (whole_right >= MATCH - o))
             starts[at[hit] - o] = True
-    seen = np.concatenate([np.zeros(MATCH, np.int64), np.cumsum(starts[:n])])
-    return seen[MATCH:] > seen[: n]
+    seen = np.zeros(n + MATCH, np.int32)
+    np.cumsum(starts[:n], out=seen[MATCH:])
+    return seen[MATCH:] > seen[:n]
+
+
+def _before(marked: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many bytes are marked before each place."""
+    if not len(marked):
+        return np.zeros(len(places), np.int64)
+    return np.where(places > 0, np.cumsum(marked, dtype=np.int32)[places - 1], 0).astype(np.int64)
 
 
 def _whole_characters(data: np.ndarray, removed: np.ndarray) -> np.ndarray:
@@ -355,8 +368,9 @@ def _whole_characters(data: np.ndarray, removed: np.ndarray) -> np.ndarray:
     return np.repeat(np.logical_and.reduceat(removed, first), np.diff(np.append(first, len(data))))
 
 
-def _results(bits: int, schema: pa.Schema):
+def _results(bits: int, schema: pa.Schema, digests: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        steady_memory()
         out = []
         replies = right.select(["kind", "part", "message"]).to_pylist()
         for row in left.to_pylist():
@@ -366,36 +380,34 @@ def _results(bits: int, schema: pa.Schema):
             edge = np.diff(removed.astype(np.int8), prepend=0) == 1
             inner = offsets[:-1][np.diff(offsets) > 0]
             edge[inner] = removed[inner]
-            gone = np.append(0, np.cumsum(removed))[offsets]
-            spans = np.append(0, np.cumsum(edge))[offsets]
-            kept = ~_whole_characters(data, removed)
-            ends = zip(offsets.tolist(), offsets[1:].tolist())
-            digests, texts = [], []
-            for a, b in ends:
-                digests.append(hashlib.sha256(data[a:b][~removed[a:b]].tobytes()).hexdigest())
-                texts.append(data[a:b][kept[a:b]].tobytes().decode())
             made = {
-                "text": pa.array(texts, pa.string()),
                 "n_bytes": pa.array(np.diff(offsets), pa.int64()),
-                "n_removed": pa.array(np.diff(gone), pa.int64()),
-                "n_spans": pa.array(np.diff(spans), pa.int64()),
-                "kept_sha256": pa.array(digests, pa.string()),
+                "n_removed": pa.array(np.diff(_before(removed, offsets)), pa.int64()),
+                "n_spans": pa.array(np.diff(_before(edge, offsets)), pa.int64()),
             }
+            if digests:
+                ends = zip(offsets.tolist(), offsets[1:].tolist())
+                own = [hashlib.sha256(data[a:b][~removed[a:b]].tobytes()).hexdigest() for a, b in ends]
+                made["kept_sha256"] = pa.array(own, pa.string())
+            kept = ~_whole_characters(data, removed)
+            buffers = [None, pa.py_buffer(_before(kept, offsets).astype(np.int32)), pa.py_buffer(data[kept])]
+            made["text"] = pa.Array.from_buffers(pa.string(), len(offsets) - 1, buffers)
             columns = [made[f.name] if f.name in made else chunk.rows.column(f.name) for f in schema]
             out.append(pa.Table.from_arrays(columns, schema=schema))
+        give_back()
         return pa.concat_tables(out)
 
     return run
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
+def remove_repeats(documents: DataFrame, digests: bool = True) -> DataFrame:
     """The rows of ``documents``, all columns, without the bytes that smaller documents have, too.
 
     A byte goes if it lies in MATCH bytes of its text that also start in a
     document with a smaller doc_id, as the texts are given; matches stay inside
     a text.  ``text`` becomes what is left, in whole characters: one of which a
     byte stays, stays.  Added are n_bytes, n_removed, n_spans (runs of removed
-    bytes) and kept_sha256, the digest of exactly the bytes that are left.
+    bytes) and, with ``digests``, kept_sha256, of exactly the bytes that are left.
 
     A null text is an empty one, and stays null in nothing: it comes back empty.
     A row without doc_id is compared with none and stays whole; rows of one
@@ -405,6 +417,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     added = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
+    if not digests:
+        del added["kept_sha256"]
     documents = documents.select(*[c for c in documents.columns if c not in added])
     documents = documents.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     schema = T.StructType([*documents.schema.fields, *[T.StructField(n, k) for n, k in added.items()]])
@@ -423,4 +437,4 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     runs = plain.cogroup(hashes.groupBy("chunk")).applyInArrow(_runs_of(bits, splitters), "part int, chunk bigint, message binary")
     masks = written(runs.groupBy("part").applyInPandas(_merge_replies, REPLY), "masks")
     replies = hashes.unionByName(masks).groupBy("chunk")
-    return plain.cogroup(replies).applyInArrow(_results(bits, to_arrow_schema(schema)), schema)
+    return plain.cogroup(replies).applyInArrow(_results(bits, to_arrow_schema(schema), digests), schema)

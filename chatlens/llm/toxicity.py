@@ -235,7 +235,9 @@ def tag(documents: DataFrame, tagger: Tagger, columns: list[str] | None = None)
     spans.  Repeated rows stay; columns named score or spans are replaced.
     """
     names = [c for c in (columns or documents.columns) if c not in ("score", "spans")]
-    source = documents.select(*names, F.col("text").alias("__text"))
+    # A text that is among the columns is sent once.
+    words, more = ("text", []) if "text" in names else ("__text", [F.col("text").alias("__text")])
+    source = documents.select(*names, *more)
     of_name = {f.name: f for f in source.schema.fields}
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
     schema = ", ".join(
@@ -243,8 +245,8 @@ def tag(documents: DataFrame, tagger: Tagger, columns: list[str] | None = None)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "__text"):
-            data, offsets = text_bytes(batch.column("__text"))
+        for batch in pieces(batches, words):
+            data, offsets = text_bytes(batch.column(words))
             found, starts, ends, firsts = features(data, offsets)
             p = tagger.marginals(found, firsts)
             spans: list[list] = [[] for _ in range(batch.num_rows)]
