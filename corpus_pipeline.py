@@ -1,51 +1,64 @@
 """From raw documents to token ids: five stages, each on all that the one before kept.
 
 A stage's result is written before the next begins, so each first clears the
-scratch tables of the stages before it.
+scratch tables of the stage before it; those of other callers stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlens.llm import bpe, decontaminate, near_dups, quality, suffix_dedup
-from chatlens.llm.common import clear_scratch, table, written
+from chatlens.llm.common import Scratch, table, written
 from chatlens.llm.queries import QUALITY_FOLD, QUALITY_LIMIT, labelled, vocabulary
 
+_scratch = Scratch()
 
+
+def _stage(run: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(run)
+    def cleared(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scratch.clear()
+        with _scratch:
+            return run(spark, docs, sf_dir)
+
+    return cleared
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    clear_scratch(spark)
     trees = quality.fit(docs, labelled(spark, sf_dir, "quality", *QUALITY_FOLD))
     scored = quality.score(docs, trees, name="__score")
     return scored.where(F.col("__score") >= QUALITY_LIMIT).select(*docs.columns)
 
 
+@_stage
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    clear_scratch(spark)
     return near_dups.drop_near_duplicates(docs)
 
 
+@_stage
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that smaller documents have; n_chars follows the text."""
-    clear_scratch(spark)
-    done = suffix_dedup.remove_repeats(docs).select(*docs.columns)
+    done = suffix_dedup.remove_repeats(docs, digests=False).select(*docs.columns)
     return done.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else done
 
 
+@_stage
 def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    clear_scratch(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
-    clear_scratch(spark)
     encoded = bpe.encode(docs.select("doc_id", "text"), vocabulary()).drop("text")
     return bpe.digests(bpe.decode(encoded, vocabulary()))
 
