@@ -289,43 +289,77 @@ def _ranked(totals: DataFrame, measure: str, n: int | None) -> DataFrame:
     return placed.join(F.broadcast(starts), "range").select("contact_name", measure, rank.cast("int").alias("rank"))
 
 
-def _contact_totals(df: DataFrame, measure: str, group_chat_map: DataFrame, group_chats: bool) -> DataFrame:
-    totals = df.dropna(subset=["contact_name"]).groupBy("contact_name").agg(F.sum(measure).alias(measure))
+def _is_kind(group_chats: bool) -> Column:
+    """Whether the summed messages of a contact are, in part, of group chats, or of others."""
+    return F.col("group_chat_messages") > 0 if group_chats else F.col("messages") > F.col("group_chat_messages")
+
+
+def _contact_totals(df: DataFrame, measure: str, group_chat_map: DataFrame | None, group_chats: bool) -> DataFrame:
+    """(contact_name, measure) of contacts of one kind, which the measures tell unless a map of kinds is given."""
+    sums = {name: F.sum(name).alias(name) for name in (measure, *([] if group_chat_map else ["messages", "group_chat_messages"]))}
+    totals = df.dropna(subset=["contact_name"]).groupBy("contact_name").agg(*sums.values())
+    if group_chat_map is None:
+        return totals.where(_is_kind(group_chats)).select("contact_name", measure)
     kind = group_chat_map.where(F.col("is_group_chat") == F.lit(group_chats)).select("contact_name")
     return totals.join(kind, "contact_name", "left_semi")
 
 
-def sms_ranking(summary_contact_from_who: DataFrame, group_chat_map: DataFrame, n: int | None = None) -> DataFrame:
+def sms_ranking(summary_contact_from_who: DataFrame, group_chat_map: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """(contact_name, sms, rank): who still sends SMS, group chats aside; the first n or all."""
     totals = _contact_totals(summary_contact_from_who, "sms", group_chat_map, group_chats=False)
     return _ranked(totals.where(F.col("sms") > 0), "sms", n)
 
 
-def favourite_contacts(daily_contact: DataFrame, group_chat_map: DataFrame, n: int | None = None) -> DataFrame:
-    """(contact_name, display_message_count, rank), group chats aside; the first n or all."""
+def favourite_contacts(daily_contact: DataFrame, group_chat_map: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """(contact_name, display_message_count, rank), group chats aside; the first n or all.
+
+    Without a map of kinds, these are told from the given days.
+    """
     return _ranked(_contact_totals(daily_contact, DISPLAY_COUNT, group_chat_map, group_chats=False), DISPLAY_COUNT, n)
 
 
-def favourite_group_chats(daily_contact: DataFrame, group_chat_map: DataFrame, n: int | None = None) -> DataFrame:
+def favourite_group_chats(daily_contact: DataFrame, group_chat_map: DataFrame | None = None, n: int | None = None) -> DataFrame:
     """(contact_name, display_message_count, rank) of group chats; the first n or all."""
     return _ranked(_contact_totals(daily_contact, DISPLAY_COUNT, group_chat_map, group_chats=True), DISPLAY_COUNT, n)
 
 
+def _favourite_series(daily_contact: DataFrame, n: int, granularity: str) -> DataFrame:
+    """(contact_name, dt, display_message_count) of the n favourite contacts, from one pass over the days.
+
+    A contact's periods, no more than the calendar has, travel as one row to
+    the choice of the n.
+    """
+    days = daily_contact.select("contact_name", "dt", DISPLAY_COUNT, "messages", "group_chat_messages")
+    series = _period_sums(days.dropna(subset=["contact_name"]), granularity, ["contact_name"])
+    whole = series.groupBy("contact_name").agg(
+        F.sum(DISPLAY_COUNT).alias("total"),
+        F.sum("messages").alias("messages"),
+        F.sum("group_chat_messages").alias("group_chat_messages"),
+        F.collect_list(F.struct("dt", DISPLAY_COUNT)).alias("periods"),
+    )
+    best = whole.where(_is_kind(group_chats=False)).orderBy(F.desc("total"), F.asc("contact_name")).limit(n)
+    return best.select("contact_name", F.inline("periods"))
+
+
 def _contact_series(daily_contact: DataFrame, granularity: str, shift: bool) -> DataFrame:
     return resample_by(daily_contact.select("contact_name", "dt", DISPLAY_COUNT), granularity, ["contact_name"], shift)
 
 
 def cumulative_volume(
-    daily_contact: DataFrame, favourites: DataFrame, granularity: str, shift: bool = False
+    daily_contact: DataFrame, favourites: DataFrame | int, granularity: str, shift: bool = False
 ) -> DataFrame:
-    """(contact_name, dt, display_message_count) running totals of favourites.
+    """(contact_name, dt, display_message_count) running totals of the given favourites, or of the first so many.
 
     Favourites are picked before the window, which then sees one row per
     contact and period.
     """
-    chosen = daily_contact.join(favourites.select("contact_name"), "contact_name", "left_semi")
+    if isinstance(favourites, int):
+        series = _shifted(_favourite_series(daily_contact, favourites, granularity), granularity, shift)
+    else:
+        chosen = daily_contact.join(favourites.select("contact_name"), "contact_name", "left_semi")
+        series = _contact_series(chosen, granularity, shift)
     so_far = Window.partitionBy("contact_name").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    return _contact_series(chosen, granularity, shift).withColumn(DISPLAY_COUNT, F.sum(DISPLAY_COUNT).over(so_far))
+    return series.withColumn(DISPLAY_COUNT, F.sum(DISPLAY_COUNT).over(so_far))
 
 
 def volume_grid(

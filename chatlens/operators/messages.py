@@ -88,14 +88,17 @@ def thread_origins(message: DataFrame) -> DataFrame:
     return origins.join(replied, "guid", "left_semi").select("message_id").distinct()
 
 
-def message_user(message: DataFrame, chat: DataFrame, chat_message_join: DataFrame, contacts_user: DataFrame) -> DataFrame:
+def message_user(
+    message: DataFrame, chat: DataFrame, chat_message_join: DataFrame, contacts_user: DataFrame, replies: DataFrame | None = None
+) -> DataFrame:
     """One row per message that lies in a chat, in MESSAGE_USER_COLUMNS order.
 
     Chat and contact are attached to the narrow (message_id, chat_id) pairs
     first, so the wide message rows cross the network once, by message_id.
+    ``message`` may be some messages only; ``replies`` then holds all of them.
     """
     placed = latest_chat(chat_message_join).join(chat_directory(chat, contacts_user), "chat_id").drop("chat_id")
-    origins = thread_origins(message).withColumn("is_origin", F.lit(True))
+    origins = thread_origins(message if replies is None else replies).withColumn("is_origin", F.lit(True))
 
     kind = F.col("associated_message_type")
     cleaned = message.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from chatlens.operators.contacts import contact_definitions
@@ -80,7 +80,7 @@ def missing_contact_names(
 
 def null_flags(message_user: DataFrame) -> DataFrame:
     """Messages with an unknown flag."""
-    return message_user.where(reduce(lambda a, b: a | b, (F.col(flag).isNull() for flag in FLAGS)))
+    return message_user.where(_any_flag_unknown())
 
 
 CHECKS = (
@@ -92,13 +92,76 @@ CHECKS = (
 )
 
 
-def run_quality_control(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(check_name, n_rows, failed), one row per check table."""
-    counted = (
-        tables[name].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("check_name"), "n_rows")
-        for name in CHECKS
+def _unlabelled_type() -> Column:
+    """The type of a message that should have a label and has none."""
+    return F.when(F.col("message_special_type").isNull() & (F.col("associated_message_type") != 0), F.col("associated_message_type"))
+
+
+def _any_flag_unknown() -> Column:
+    return reduce(lambda a, b: a | b, (F.col(flag).isNull() for flag in FLAGS))
+
+
+def observed(message_user: DataFrame, observation: Observation) -> DataFrame:
+    """message_user, counting two checks in passing: give observation.get to run_quality_control once it is written."""
+    return message_user.observe(
+        observation,
+        F.count_if(_any_flag_unknown()).alias("qc_null_flags"),
+        F.size(F.collect_set(_unlabelled_type())).cast("bigint").alias("qc_message_special_types"),
+    )
+
+
+def run_quality_control(
+    tables: Mapping[str, DataFrame],
+    newest: int = NEWEST_SHOWN,
+    more_than: int = MORE_THAN_MESSAGES,
+    counted: Mapping[str, int] | None = None,
+) -> DataFrame:
+    """(check_name, n_rows, failed), one row per check: how many rows its table has.
+
+    message_user is read once: its narrow columns are grouped by message, by
+    chat and by type side by side, and all but the groups of messages are
+    combined before the shuffle.  ``counted`` are row counts known already.
+    """
+    counted = dict(counted or {})
+    narrow = tables["message_user"].select(
+        "message_id",
+        "chat_identifier",
+        _unlabelled_type().alias("kind"),
+        F.col("is_text").alias("is_text"),
+        (F.col("is_text") & F.col("contact_name").isNull()).alias("unnamed"),
+        _any_flag_unknown().alias("unknown"),
     )
-    return reduce(DataFrame.unionByName, counted).withColumn("failed", F.col("n_rows") > 0)
+    keys = ("message_id", "chat_identifier", "kind")
+    groups = narrow.groupingSets([["message_id"], ["chat_identifier"], ["kind"]], *keys).agg(
+        F.grouping_id().alias("by"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("is_text").alias("texts"),
+        F.count_if("unnamed").alias("unnamed"),
+        F.count_if("unknown").alias("unknown"),
+    )
+    # A bit is set for each key that a group is not by.
+    of_message, of_chat, of_kind = (F.col("by") == code for code in (0b011, 0b101, 0b110))
+    chat = F.when(of_chat, F.col("chat_identifier"))
+    # Only chats stay apart; all messages and types come down to one row.
+    reduced = groups.groupBy(chat.alias("chat_identifier")).agg(
+        F.count_if(of_message & (F.col("n") > 1)).alias("qc_duplicate_message_id"),
+        F.count_if(of_kind & F.col("kind").isNotNull()).alias("qc_message_special_types"),
+        F.sum(F.when(of_kind, F.col("unknown"))).alias("qc_null_flags"),
+        F.sum(F.when(of_chat, F.col("texts"))).alias("texts"),
+        F.sum(F.when(of_chat, F.col("unnamed"))).alias("unnamed"),
+    )
+    ignored = tables["contacts_ignored"].select("chat_identifier").distinct().withColumn("ignored", F.lit(True))
+    named = reduced.join(ignored, "chat_identifier", "left")
+    shown = F.col("chat_identifier").isNotNull() & F.col("ignored").isNull() & (F.col("texts") > more_than)
+    named = named.withColumn("qc_missing_contact_names", F.when(shown, F.least("unnamed", F.lit(newest))).otherwise(0))
+    total = named.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in CHECKS[1:]))
+    conflicts = tables[CHECKS[0]].agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(CHECKS[0]).alias("check_name"), "n_rows")
+    rest = [
+        F.struct(F.lit(name).alias("check_name"), (F.lit(counted[name]) if name in counted else F.col(name)).cast("bigint").alias("n_rows"))
+        for name in CHECKS[1:]
+    ]
+    report = conflicts.unionByName(total.select(F.inline(F.array(*rest))))
+    return report.withColumn("failed", F.col("n_rows") > 0)
 
 
 def failing_checks(report: DataFrame) -> DataFrame:
@@ -124,7 +187,11 @@ def measure_sums_disagree(daily: DataFrame, measures: tuple[str, ...] = tuple(CO
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
-    """The frame itself, or an error if it has no rows."""
-    if df.isEmpty():
-        raise ValueError(f"no rows in {what}")
-    return df
+    """The frame itself; reading it is an error if it has no rows.
+
+    Nothing runs before it is read: the check is a branch of the plan that
+    looks for one row, and adds none.
+    """
+    missing = F.raise_error(F.lit(f"no rows in {what}")).cast("boolean")
+    found = df.limit(1).agg(F.count(F.lit(1)).alias("found")).where(F.when(F.col("found") == 0, missing).otherwise(False))
+    return df.unionByName(found.select(*(F.lit(None).cast(field.dataType).alias(field.name) for field in df.schema.fields)))

@@ -75,19 +75,19 @@ def message_tokens(message_user: DataFrame) -> DataFrame:
 
 
 def message_emoji_map(message_user: DataFrame, emoji: DataFrame) -> DataFrame:
-    """(message_id, has_emoji): does any token equal an emoji.
+    """(message_id, has_emoji) of each row: does any token equal an emoji.
 
-    Messages without tokens are false.  Each message's tokens lie together,
-    so the partial aggregate sends one row per message to the shuffle.
+    Messages without tokens are false.  The emoji come as one array, and the
+    last characters of all of them as one pattern, so a message is judged
+    inside its row, and its tokens are looked at only if such a character occurs.
     """
-    message_words = F.when(is_text_message(), F.array_distinct(words.tokens(F.col("text"))))
-    exploded = message_user.select("message_id", F.explode_outer(message_words).alias("token"))
-    known = emoji.select("emoji")
-    return (
-        exploded.join(known, F.col("token") == F.col("emoji"), "left")
-        .groupBy("message_id")
-        .agg(F.bool_or(F.col("emoji").isNotNull()).alias("has_emoji"))
-    )
+    last = F.concat(F.lit(r"\x{"), F.hex(F.ascii(F.substring("emoji", -1, 1))), F.lit("}"))
+    ends = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set(last)), ""), F.lit("]"))
+    pattern = emoji.agg(F.when(F.count("emoji") > 0, ends).otherwise("(?!)")).scalar()
+    known = emoji.agg(F.collect_set("emoji")).scalar()
+    likely = is_text_message() & (F.regexp_instr("text", pattern) > 0)
+    found = F.when(likely, F.arrays_overlap(words.tokens(F.col("text")), known))
+    return message_user.select("message_id", F.coalesce(found, F.lit(False)).alias("has_emoji"))
 
 
 def token_dictionary(

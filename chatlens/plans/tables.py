@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from chatlens.operators import contacts, messages, quality, summaries, tokens
 from chatlens.schemas import SOURCE_TABLES, STATIC_SCHEMAS
+from chatlens.sources.commits import TableStore
 from chatlens.sources.dimensions import emoji_dim, stopword_dim
-from chatlens.sources.sinks import materialise
 from chatlens.sources.tables import empty_table
 
 
@@ -100,22 +100,37 @@ WRITTEN_TABLES = {
     "daily_facts": None,
     "contact_token_usage_daily_from_who": None,
 }
+# Of these a batch of messages changes some days only.
+DAILY_TABLES = ("message_user", "daily_facts", "contact_token_usage_daily_from_who")
 
 
-def refresh_tables(tables: TableSet, out: str) -> TableSet:
-    """Write the tables that others are built on; return a set that reads them.
+def refresh_tables(tables: TableSet, out: str, observation: Observation | None = None) -> TableSet:
+    """Write the tables that others are built on as one commit; return a set that reads them.
 
-    ``out`` is a folder every executor can reach.  message_user is split by
-    day, so date ranges prune files; the daily facts and the daily token usage
-    are each written once and rolled up by all that follows.
+    ``out`` is a folder every executor can reach, kept as a TableStore.
+    message_user is split by day, so date ranges prune files; the daily facts
+    and the daily token usage are each written once and rolled up by all that
+    follows.  Readers see all tables of the commit before, or all of this one.
+    An observation counts two quality checks while message_user is written.
     """
+    change = TableStore(tables.spark, out).refresh()
     written: dict[str, DataFrame] = {}
     for name, partition_by in WRITTEN_TABLES.items():
-        current = tables.with_tables(**written)
-        written[name] = materialise(current[name], f"{out}/{name}", partition_by)
+        df = tables.with_tables(**written)[name]
+        if name == "message_user" and observation:
+            df = quality.observed(df, observation)
+        written[name] = change.write(name, df, partition_by)
+    change.commit()
     return tables.with_tables(**written)
 
 
+def committed_tables(
+    spark: SparkSession, out: str, given: Mapping[str, DataFrame] | None = None, as_of: dt.date | None = None, number: int | None = None
+) -> TableSet:
+    """All tables as of one commit of refresh_tables, the newest by default; sources may be given, too."""
+    return TableSet(spark, {**(given or {}), **TableStore(spark, out).tables(number)}, as_of)
+
+
 # --- fixed values: how SQL users know the tables -----------------------------
 # These keep their plain name; every other derived table is also a ..._vw view.
 PLAIN_NAMES = (

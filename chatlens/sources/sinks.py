@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatlens.sources.commits import TableStore
 from chatlens.sources.tables import path_is_missing
 
 # --- fixed values: data sets the dashboard reads -----------------------------
@@ -30,7 +31,6 @@ DASHBOARD_DATASETS = (
     "contact_group_chat_map",
 )
 
-MANIFEST = "_datasets"
 CSV_NULL = "\\N"
 VERSIONS = "written bigint, version string"
 
@@ -40,8 +40,10 @@ def materialise(df: DataFrame, path: str, partition_by: str | None = None) -> Da
 
     Each version has a folder of its own, so whoever reads an older one, the
     written plan among them, keeps its files; read_current finds the newest.
-    Old versions are left to the user to remove.  With ``partition_by`` the rows are first rebalanced on that column: small
-    values share a file, a hot value is split over several tasks.
+    Old versions are left to the user to remove.  With ``partition_by`` the rows
+    are first rebalanced on that column: small values share a file, a hot value
+    is split over several tasks.  Tables that change together are better kept in
+    a TableStore.
     """
     writer = df
     if partition_by:
@@ -114,28 +116,19 @@ def extract_datasets(
     names: Iterable[str] = DASHBOARD_DATASETS,
     refresh: bool = False,
 ) -> dict[str, DataFrame]:
-    """The named data sets as one Parquet snapshot, reloaded if it exists.
+    """The named data sets as one snapshot, reloaded if it exists.
 
-    The list of data sets is emptied first and written last, so a snapshot cut
-    short by a failure is not taken for a whole one.  Give the tables that
-    refresh_tables returns: each data set is then a view of what is written.
+    Each snapshot is a commit of a TableStore, so whoever reads an older one
+    keeps it, also while it is made anew, and one cut short by a failure is not
+    seen.  Give the tables that refresh_tables returns: each data set is then a
+    view of what is written.
     """
-    names = list(names)
-    if not refresh:
-        try:
-            saved = {row.dataset for row in spark.read.schema("dataset string").parquet(f"{out}/{MANIFEST}").collect()}
-            if saved.issuperset(names):
-                return {name: spark.read.parquet(f"{out}/{name}") for name in names}
-        except AnalysisException as error:
-            if not path_is_missing(error):
-                raise
-
-    def write_manifest(done: list[str]) -> None:
-        manifest = spark.createDataFrame([(name,) for name in done], "dataset string")
-        manifest.coalesce(1).write.mode("overwrite").parquet(f"{out}/{MANIFEST}")
-
-    write_manifest([])
+    names, store = list(names), TableStore(spark, out)
+    saved = store.commit()
+    if not refresh and set(names) <= set(saved.tables):
+        return {name: store.read(saved, name) for name in names}
+    change = store.refresh()
     for name in names:
-        dataset_view(tables[name]).write.mode("overwrite").parquet(f"{out}/{name}")
-    write_manifest(names)
-    return {name: spark.read.parquet(f"{out}/{name}") for name in names}
+        change.write(name, dataset_view(tables[name]))
+    done = change.commit()
+    return {name: store.read(done, name) for name in names}

@@ -507,8 +507,7 @@ CHECKS_SQL = {
 
 
 def _report(t: Tables) -> DataFrame:
-    missing = quality.missing_contact_names(t["message_user"], t["contacts_ignored"], more_than=3)
-    return quality.run_quality_control(t.all.with_tables(qc_missing_contact_names=missing))
+    return quality.run_quality_control(t.all, more_than=3)
 
 
 register("run_quality_control", _report_sql(CHECKS_SQL))(_report)
@@ -853,15 +852,15 @@ def _ranking(name: str, n: int | None) -> None:
 
     @register(f"sms_ranking{name}", f"SELECT * FROM {favourites(n, **sms)}", SUMMARIES)
     def _(t):
-        return insights.sms_ranking(t["summary_contact_from_who"], t["contact_group_chat_map"], n)
+        return insights.sms_ranking(t["summary_contact_from_who"], n=n)
 
     @register(f"favourite_contacts{name}", f"SELECT * FROM {favourites(n)}", SUMMARIES)
     def _(t):
-        return insights.favourite_contacts(t.shown("daily_summary_contact"), t["contact_group_chat_map"], n)
+        return insights.favourite_contacts(t.shown("daily_summary_contact"), n=n)
 
     @register(f"favourite_group_chats{name}", f"SELECT * FROM {favourites(n, group_chats=True)}", SUMMARIES)
     def _(t):
-        return insights.favourite_group_chats(t.shown("daily_summary_contact"), t["contact_group_chat_map"], n)
+        return insights.favourite_group_chats(t.shown("daily_summary_contact"), n=n)
 
 
 _ranking("", 20)
@@ -871,13 +870,18 @@ _ranking("_all", None)
 SERIES = resampled_by("daily_contact_shown", "Week", ["contact_name"], [SHOWN])
 
 
-@register(
-    "cumulative_volume",
-    f"""SELECT contact_name, dt, CAST(sum({SHOWN}) OVER (PARTITION BY contact_name ORDER BY dt
-                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS {SHOWN}
-        FROM {SERIES} WHERE contact_name IN (SELECT contact_name FROM {favourites(10)})""",
-    SUMMARIES,
-)
+CUMULATIVE_SQL = f"""
+    SELECT contact_name, dt, CAST(sum({SHOWN}) OVER (PARTITION BY contact_name ORDER BY dt
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS {SHOWN}
+    FROM {SERIES} WHERE contact_name IN (SELECT contact_name FROM {favourites(10)})"""
+
+
+@register("cumulative_volume", CUMULATIVE_SQL, SUMMARIES)
+def _(t):
+    return insights.cumulative_volume(t.shown("daily_summary_contact"), 10, "Week")
+
+
+@register("cumulative_volume_of_given", CUMULATIVE_SQL, SUMMARIES)
 def _(t):
     daily = t.shown("daily_summary_contact")
     best = insights.favourite_contacts(daily, t["contact_group_chat_map"], 10)
