@@ -171,6 +171,7 @@ def failing_checks(report: DataFrame) -> DataFrame:
 
 def identifier_conflicts(duplicates: DataFrame) -> DataFrame:
     """(chat_identifier, conflict): each identifier's names and sources in a line."""
+    # --- fixed value: the wording of a conflict ---
     mapping = F.format_string('name: "%s" (source: "%s")', "contact_name", "source")
     ordered = F.array_sort(F.collect_list(F.struct("priority", mapping.alias("mapping"))))
     return duplicates.groupBy("chat_identifier").agg(

@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chatlens.schemas import MESSAGE_USER_COLUMNS
 
 GIVEN_TABLES = ("conversations", "documents", "events", "customer", "nation")
 
@@ -227,6 +228,20 @@ FROM d
 """
 
 
+FLAGS = (
+    "is_from_me", "is_text", "is_url", "is_group_chat", "is_emote",
+    "has_no_text", "has_attachment", "is_attachment", "has_attachment_image", "is_attachment_image",
+)
+_blanked = {flag: f"CASE WHEN message_id % 23 = {k} THEN NULL ELSE {flag} END AS {flag}" for k, flag in enumerate(FLAGS)}
+_columns = ", ".join(_blanked.get(name, name) for name in MESSAGE_USER_COLUMNS)
+
+# The message table with what its checks look for: nulls in every flag, and messages that stand there twice.
+UNSOUND_MESSAGE_USER = f"""
+SELECT {_columns} FROM message_user
+UNION ALL SELECT {", ".join(MESSAGE_USER_COLUMNS)} FROM message_user WHERE message_id % 9 = 4
+"""
+
+
 class Bound:
     """The shared SQL read by Spark over the tables of one folder."""
 

@@ -45,6 +45,10 @@ CONDITIONS = {
     "messages_containing_attachment_image": "has_attachment_image",
     "messages_image_attachment_only": "is_attachment_image",
 }
+#: What a text counts where all keys of its day are known.
+SIZED = "is_text AND NOT has_no_text AND dt IS NOT NULL AND contact_name IS NOT NULL AND is_from_me IS NOT NULL"
+SIZES = f"""CAST(sum(len(string_split(text, ' '))) FILTER (WHERE {SIZED}) AS BIGINT) AS tokens,
+            CAST(sum(length(text)) FILTER (WHERE {SIZED}) AS BIGINT) AS characters"""
 COUNTS = ", ".join(f"count(*) FILTER (WHERE {CONDITIONS[m]}) AS {m}" for m in COUNT_MEASURES)
 
 
@@ -70,10 +74,11 @@ STEPS = {
         FROM message WHERE cache_roomnames IS NOT NULL AND group_title IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY cache_roomnames ORDER BY message.date DESC, group_title) = 1""",
     "definitions": """
-        SELECT chat_identifier, group_name AS contact_name, 1 AS priority, 'contact_group_names' AS source
-        FROM contact_group_names
-        UNION SELECT chat_identifier, contact_name, 2, 'contacts_manual' FROM contacts_manual
-        UNION SELECT chat_identifier, contact_name, 3, 'contacts' FROM contacts""",
+        SELECT DISTINCT chat_identifier, contact_name, priority, source
+        FROM (SELECT 'contact_group_names' AS source, chat_identifier, group_name AS contact_name FROM contact_group_names
+              UNION ALL BY NAME SELECT 'contacts_manual' AS source, chat_identifier, contact_name FROM contacts_manual
+              UNION ALL BY NAME SELECT 'contacts' AS source, chat_identifier, contact_name FROM contacts)
+        JOIN (VALUES ('contact_group_names', 1), ('contacts_manual', 2), ('contacts', 3)) ranks(source, priority) USING (source)""",
     "contacts_user": """
         SELECT chat_identifier, contact_name, source FROM definitions
         QUALIFY row_number() OVER (PARTITION BY chat_identifier ORDER BY priority, contact_name) = 1""",
@@ -92,6 +97,7 @@ STEPS = {
                thread_originator_guid IS NOT NULL AS is_threaded_reply,
                cache_has_attachments, was_data_detected
         FROM message""",
+    # The rules of labels, in order.
     "labelled": f"""
         SELECT cleaned.*,
                coalesce(kind BETWEEN 2000 AND 2005 OR kind BETWEEN 3000 AND 3005, FALSE) AS is_emote,
@@ -111,6 +117,7 @@ STEPS = {
                  ELSE CASE kind {EMOTE_CASES} END
                END AS message_special_type
         FROM cleaned""",
+    "unsound": bindings.UNSOUND_MESSAGE_USER,
     "message_user": """
         WITH typed AS (
           SELECT labelled.*, NOT (is_emote OR is_url OR has_no_text) AND message_special_type IS NULL AS is_text,

@@ -27,7 +27,7 @@ RANGE_SQL = f"dt BETWEEN DATE '{START}' AND DATE '{STOP}'"
 SHOWN = "display_message_count"
 ALL_COLUMNS = (*MEASURES, SHOWN)
 
-CONTACT_OF = {"conversations": "Contact 5", "events": "User 8", "documents": "src1"}
+CONTACT_OF = {"conversations": "Contact 18", "events": "User 8", "documents": "src1"}
 
 
 class Tables:
@@ -119,9 +119,6 @@ def book_sql(number: int, select: str) -> str:
     return f"WITH {BOOK_SQL.format(people=bindings.BOOK_PEOPLE[number])} {select}"
 
 
-PEOPLE_OF_FIRST_BOOK = f"""
-    SELECT Z_PK, coalesce(ZFIRSTNAME, '') AS first_name, coalesce(ZLASTNAME, '') AS last_name
-    FROM ({bindings.BOOK_PEOPLE[0]}) WHERE coalesce(ZFIRSTNAME, '') || coalesce(ZLASTNAME, '') <> ''"""
 COMPACT = """SELECT coalesce(e.first_name, p.first_name) AS first_name, coalesce(e.last_name, p.last_name) AS last_name,
                     email, phone_number
              FROM emails e FULL JOIN phones p ON e.first_name = p.first_name AND e.last_name = p.last_name"""
@@ -143,19 +140,28 @@ SPELLINGS = f"""
           FROM ({NUMBERS}))"""
 
 
-@register("address_book_emails", book_sql(0, "SELECT first_name, last_name, email FROM emails"))
+def both_books(select: str) -> str:
+    """The select over either book, with the book's number."""
+    return " UNION ALL ".join(f"SELECT {number} AS book, * FROM ({book_sql(number, select)})" for number in bindings.BOOK_PEOPLE)
+
+
+def of_both_books(t: Tables, of_one: Callable[[dict[str, DataFrame]], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (of_one(book).select(F.lit(number).alias("book"), "*") for number, book in enumerate(t.books)))
+
+
+@register("address_book_emails", both_books("SELECT first_name, last_name, email FROM emails"))
 def _(t):
-    return contacts.person_emails(t.books[0]["person"], t.books[0]["email"])
+    return of_both_books(t, lambda book: contacts.person_emails(book["person"], book["email"]))
 
 
-@register("address_book_phones", book_sql(0, "SELECT first_name, last_name, phone_number FROM phones"))
+@register("address_book_phones", both_books("SELECT first_name, last_name, phone_number FROM phones"))
 def _(t):
-    return contacts.person_phones(t.books[0]["person"], t.books[0]["phone"])
+    return of_both_books(t, lambda book: contacts.person_phones(book["person"], book["phone"]))
 
 
-@register("address_book", book_sql(1, COMPACT))
+@register("address_book", both_books(COMPACT))
 def _(t):
-    return contacts.address_book(**t.books[1])
+    return of_both_books(t, lambda book: contacts.address_book(**book))
 
 
 @register("all_address_books", ALL_BOOKS)
@@ -191,13 +197,14 @@ def _(t):
 
 @register(
     "identifiers",
-    f"""SELECT p.first_name, p.last_name, 'email' AS identifier_type, coalesce(e.ZADDRESS, '') AS value
-        FROM email e JOIN ({PEOPLE_OF_FIRST_BOOK}) p ON p.Z_PK = e.ZOWNER
-        UNION ALL SELECT p.first_name, p.last_name, 'phone', coalesce(e.ZFULLNUMBER, '')
-        FROM phone e JOIN ({PEOPLE_OF_FIRST_BOOK}) p ON p.Z_PK = e.ZOWNER""",
+    both_books(
+        """SELECT first_name, last_name, kind AS identifier_type, coalesce(held, '') AS value
+           FROM people JOIN (SELECT ZOWNER, 'email' AS kind, ZADDRESS AS held FROM email
+                             UNION ALL SELECT ZOWNER, 'phone', ZFULLNUMBER FROM phone) ON Z_PK = ZOWNER"""
+    ),
 )
 def _(t):
-    return contacts.identifiers(**t.books[0])
+    return of_both_books(t, lambda book: contacts.identifiers(**book))
 
 
 @register(
@@ -254,11 +261,12 @@ def _(t):
     return tokens.normalised_text(t["message_user"])
 
 
+# Each piece between blanks without its last marks, these marks, and the ends of words set off.
 MARKED_SQL = r"""
-    SELECT message_id, CASE WHEN spaced = '' THEN [] ELSE string_split(spaced, ' ') END AS tokens
-    FROM (SELECT message_id, trim(regexp_replace(replace(replace(regexp_replace(translate(text, '‘’“”', '''''""'),
-            '([?.!,]+)( |\z)', ' \1 ', 'g'), '''s', ' ''s'), '''d', ' ''d'), '\s+', ' ', 'g'), ' ') AS spaced
-          FROM message_user_text)"""
+    SELECT message_id, list_filter(flatten(list_transform(string_split(straight, ' '), lambda piece:
+             string_split_regex(replace(replace(rtrim(piece, '?.!,'), '''s', ' ''s'), '''d', ' ''d')
+                                || ' ' || substr(piece, length(rtrim(piece, '?.!,')) + 1), '\s+'))), lambda word: word <> '') AS tokens
+    FROM (SELECT message_id, translate(text, '‘’“”', '''''""') AS straight FROM message_user_text)"""
 
 
 @register(
@@ -375,14 +383,12 @@ table("summary_from_who", f"SELECT is_from_me, {SUMS} FROM daily GROUP BY is_fro
 
 
 def _lifetime_sql(*keys: str) -> str:
-    names = ", ".join(keys)
-    match = " AND ".join(f"m.{key} = t.{key}" for key in keys)
+    names, known = ", ".join(keys), " AND ".join(f"{key} IS NOT NULL" for key in keys)
     return f"""
-        WITH m AS (SELECT {names}, {SUMS}, count(DISTINCT dt) AS dates_messaged, min(dt) AS first_message_dt,
-                          max(dt) AS latest_message_dt FROM daily GROUP BY {names}),
-             t AS (SELECT {names}, min(ts) AS first_message_ts, max(ts) AS latest_message_ts
-                   FROM message_user GROUP BY {names})
-        SELECT m.*, t.first_message_ts, t.latest_message_ts FROM m LEFT JOIN t ON {match}"""
+        SELECT {names}, {oracles.COUNTS}, {oracles.SIZES},
+               count(DISTINCT dt) AS dates_messaged, min(dt) AS first_message_dt, max(dt) AS latest_message_dt,
+               min(ts) FILTER (WHERE {known}) AS first_message_ts, max(ts) FILTER (WHERE {known}) AS latest_message_ts
+        FROM message_user GROUP BY {names}"""
 
 
 table("summary_contact", _lifetime_sql("contact_name"), EVERYWHERE)
@@ -403,41 +409,46 @@ def _(t):
     return summaries.rollup_summary(t["daily_summary_contact_from_who"])
 
 
+COUNTED = {
+    "messages": "TRUE",
+    "imessages": "service = 'iMessage'",
+    "sms": "service = 'SMS'",
+    "messages_containing_text": "is_text",
+    "emotes": "is_emote",
+    "urls": "is_url",
+    "thread_origins": "is_thread_origin",
+    "threaded_replies": "is_threaded_reply",
+    "messages_containing_attachment": "has_attachment",
+    "messages_attachment_only": "is_attachment",
+    "messages_containing_attachment_image": "has_attachment_image",
+    "messages_image_attachment_only": "is_attachment_image",
+}
+LETTERS = "CAST(sum(length(text)) FILTER (WHERE is_text AND NOT has_no_text) AS BIGINT)"
+WORDS = "CAST(sum(len(string_split(text, ' '))) FILTER (WHERE is_text AND NOT has_no_text) AS BIGINT)"
 table(
     "contact_stats",
-    f"""SELECT m.contact_name, m.is_from_me, count(*) AS messages, {_sum('n_characters')} AS characters,
-               {_sum('n_tokens')} AS tokens,
-               count(*) FILTER (WHERE m.service = 'iMessage') AS imessages,
-               count(*) FILTER (WHERE m.service = 'SMS') AS sms,
-               count(*) FILTER (WHERE is_text) AS messages_containing_text,
-               count(*) FILTER (WHERE is_emote) AS emotes, count(*) FILTER (WHERE is_url) AS urls,
-               count(*) FILTER (WHERE is_thread_origin) AS thread_origins,
-               count(*) FILTER (WHERE m.is_threaded_reply) AS threaded_replies,
-               count(*) FILTER (WHERE has_attachment) AS messages_containing_attachment,
-               count(*) FILTER (WHERE is_attachment) AS messages_attachment_only,
-               count(*) FILTER (WHERE has_attachment_image) AS messages_containing_attachment_image,
-               count(*) FILTER (WHERE is_attachment_image) AS messages_image_attachment_only,
-               min(m.dt) AS first_message_dt, max(m.dt) AS latest_message_dt,
-               CAST(date_diff('day', max(m.dt), DATE '{AS_OF}') AS INT) AS days_since_latest_message,
-               CAST(date_diff('day', min(m.dt), max(m.dt)) AS INT) AS lifetime_days,
-               count(DISTINCT m.dt) AS active_days
-        FROM message_user m LEFT JOIN message_user_text x ON m.message_id = x.message_id
-        GROUP BY m.contact_name, m.is_from_me""",
+    f"""SELECT contact_name, is_from_me, {", ".join(f"CAST(count_if({rule}) AS BIGINT) AS {name}" for name, rule in COUNTED.items())},
+               {LETTERS} AS characters, {WORDS} AS tokens, first_message_dt, latest_message_dt,
+               CAST(DATE '{AS_OF}' - latest_message_dt AS INT) AS days_since_latest_message,
+               CAST(latest_message_dt - first_message_dt AS INT) AS lifetime_days, active_days
+        FROM message_user
+        JOIN (SELECT contact_name AS whose, is_from_me AS side, min(dt) AS first_message_dt, max(dt) AS latest_message_dt,
+                     len(list_distinct(list(dt))) AS active_days FROM message_user GROUP BY ALL) spans
+          ON contact_name IS NOT DISTINCT FROM whose AND is_from_me IS NOT DISTINCT FROM side
+        GROUP BY contact_name, is_from_me, first_message_dt, latest_message_dt, active_days""",
     EVERYWHERE,
 )
+DIFFERENT = "CAST(coalesce(len(list_distinct(list(message_id) FILTER (WHERE {})) ), 0) AS BIGINT)"
 table(
     "contact_daily_message_volume",
-    f"""WITH v AS (
-          SELECT m.contact_name, m.dt, m.is_from_me, count(DISTINCT m.message_id) AS n_total_messages,
-                 count(DISTINCT CASE WHEN is_text THEN m.message_id END) AS n_text_messages,
-                 count(DISTINCT CASE WHEN is_emote THEN m.message_id END) AS n_emote,
-                 count(DISTINCT CASE WHEN is_url THEN m.message_id END) AS n_url,
-                 {_sum('n_characters')} AS n_text_characters, {_sum('n_tokens')} AS n_text_words
-          FROM message_user m LEFT JOIN message_user_text x ON m.message_id = x.message_id
-          WHERE is_text AND m.contact_name IS NOT NULL GROUP BY m.contact_name, m.dt, m.is_from_me)
-        SELECT *, CAST(row_number() OVER (PARTITION BY contact_name
-                         ORDER BY n_total_messages DESC, dt, is_from_me NULLS FIRST) AS INT)
-                  AS day_rank_by_n_messages_partition_by_contact FROM v""",
+    f"""WITH days AS (
+          SELECT contact_name, dt, is_from_me, {DIFFERENT.format("TRUE")} AS n_total_messages,
+                 {DIFFERENT.format("is_text")} AS n_text_messages, {DIFFERENT.format("is_emote")} AS n_emote,
+                 {DIFFERENT.format("is_url")} AS n_url, {LETTERS} AS n_text_characters, {WORDS} AS n_text_words
+          FROM message_user WHERE contact_name IS NOT NULL AND is_text GROUP BY ALL)
+        SELECT days.*, CAST(count(*) OVER busier AS INT) AS day_rank_by_n_messages_partition_by_contact FROM days
+        WINDOW busier AS (PARTITION BY contact_name ORDER BY n_total_messages DESC, dt, is_from_me NULLS FIRST
+                          ROWS UNBOUNDED PRECEDING)""",
     EVERYWHERE,
 )
 table(
@@ -467,14 +478,24 @@ MISSING_SQL = """
     JOIN (SELECT chat_identifier, count(*) FILTER (WHERE is_text) AS total_messages FROM message_user GROUP BY chat_identifier) c
       ON n.chat_identifier = c.chat_identifier WHERE c.total_messages > {more_than}"""
 NOT_IGNORED = "AND chat_identifier NOT IN (SELECT chat_identifier FROM contacts_ignored)"
-NULLS_SQL = "SELECT * FROM message_user WHERE is_from_me IS NULL"
+NULLS_SQL = "SELECT * FROM message_user WHERE " + " OR ".join(f"{flag} IS NULL" for flag in bindings.FLAGS)
 REPEATED_SQL = """
     SELECT message_id, count(*) AS n_records FROM message_user GROUP BY message_id HAVING count(*) > 1"""
 
+
+def _unsound(t: Tables) -> TableSet:
+    """The tables with the message table that its checks find fault with."""
+    return t.all.with_tables(message_user=t.bound.sql(bindings.UNSOUND_MESSAGE_USER, message_user=t["message_user"]))
+
+
+def _of_unsound(sql: str) -> str:
+    return sql.replace("FROM message_user", "FROM unsound")
+
+
 table("qc_duplicate_chat_identifier_defs", DUPLICATES_SQL)
-table("qc_duplicate_message_id", REPEATED_SQL, SUMMARIES)
+register("qc_duplicate_message_id", _of_unsound(REPEATED_SQL), SUMMARIES)(lambda t: _unsound(t)["qc_duplicate_message_id"])
 table("qc_message_special_types", SPECIAL_SQL, SUMMARIES)
-table("qc_null_flags", NULLS_SQL, SUMMARIES)
+register("qc_null_flags", _of_unsound(NULLS_SQL), SUMMARIES)(lambda t: _unsound(t)["qc_null_flags"])
 
 
 @register("qc_missing_contact_names", MISSING_SQL.format(ignored=NOT_IGNORED, more_than=3))
@@ -513,6 +534,11 @@ def _report(t: Tables) -> DataFrame:
 register("run_quality_control", _report_sql(CHECKS_SQL))(_report)
 
 
+@register("run_quality_control_of_unsound", _report_sql({name: _of_unsound(sql) for name, sql in CHECKS_SQL.items()}))
+def _(t):
+    return quality.run_quality_control(_unsound(t), more_than=3)
+
+
 @register("failing_checks", f"SELECT count(*) AS n_failed FROM ({_report_sql(CHECKS_SQL)}) WHERE failed")
 def _(t):
     return quality.failing_checks(_report(t))
