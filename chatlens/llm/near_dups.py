@@ -22,6 +22,7 @@ that make a link are exact, on the shingles themselves.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ FEW = 64
 #: Texts, and bytes of their regions, that a block holds when blocks are compared.
 BLOCK, BLOCK_BYTES = 1024, 2 << 20
 #: Counters of how common regions are; those that share one count as equally common.
-SLOTS = 1 << 18
+SLOTS = 1 << 22
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -291,20 +292,35 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _commonness(held: DataFrame) -> np.ndarray:
-    """How often the regions of each of SLOTS slots occur."""
+    """How often the regions of each of SLOTS slots occur, up to 255.
+
+    Counts are summed by blocks of slots, so the driver gets SLOTS bytes however many regions there are.
+    """
+    size = min(SLOTS, 1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(SLOTS, np.uint32)
         for batch in pieces(batches, "regions", 1 << 20):
-            region = _unpacked(text_bytes(batch.column("regions"))[0].tobytes())
-            total += np.bincount((region % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
-
-    found = map_arrow(held.select("regions"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(SLOTS, np.int64)
-    out[found.slot] = found.n
-    return out
+            slot = _unpacked(text_bytes(batch.column("regions"))[0].tobytes()) % np.uint64(SLOTS)
+            slot, n = np.unique(slot.astype(np.int64), return_counts=True)
+            total[slot] += n.astype(np.uint32)
+        blocks = np.minimum(total, 255).astype(np.uint8).reshape(-1, size)
+        used = np.flatnonzero(blocks.any(axis=1))
+        counts = [zlib.compress(blocks[k].tobytes(), 1) for k in used.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts, pa.binary())], names=["block", "counts"])
+
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size, np.uint16)
+        for counts in rows["counts"]:
+            total = np.minimum(total + np.frombuffer(zlib.decompress(counts), np.uint8), 255).astype(np.uint16)
+        return pd.DataFrame({"block": [rows["block"].iat[0]], "counts": [zlib.compress(total.astype(np.uint8).tobytes(), 1)]})
+
+    schema = "block bigint, counts binary"
+    found = map_arrow(held.select("regions"), run, schema).groupBy("block").applyInPandas(summed, schema).collect()
+    out = np.zeros((SLOTS // size, size), np.uint8)
+    for row in found:
+        out[row.block] = np.frombuffer(zlib.decompress(row.counts), np.uint8)
+    return out.reshape(-1)
 
 
 def prefix(region: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
@@ -320,7 +336,10 @@ def prefix(region: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _prefixes(held: DataFrame, common: np.ndarray) -> DataFrame:
-    """Rows (region, node, root, weight, size, found) for the prefixes of texts (key, regions, root, weight)."""
+    """Rows (region, node, root, weight, size, found) for the prefixes of texts (key, regions, root, weight).
+
+    Regions that are surely no other text's are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "regions", 1 << 20):
@@ -328,9 +347,11 @@ def _prefixes(held: DataFrame, common: np.ndarray) -> DataFrame:
             for packed in batch.column("regions"):
                 region = _unpacked(packed.as_py())
                 own, first = prefix(region, common)
+                # A region that occurs once is this text's alone.
+                again = common[(own % np.uint64(SLOTS)).astype(np.int64)] > 1
                 sizes.append(len(region))
-                parts.append(own.astype(np.int64))
-                found.append(np.arange(len(own)) < first)
+                parts.append(own[again].astype(np.int64))
+                found.append(np.flatnonzero(again) < first)
             of = np.repeat(np.arange(batch.num_rows), [len(p) for p in parts])
             columns = [pa.array(np.concatenate(parts)), *(batch.column(c).take(pa.array(of)) for c in ("key", "root", "weight"))]
             columns += [pa.array(np.array(sizes)[of]), pa.array(np.concatenate(found))]
