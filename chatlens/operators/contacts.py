@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlens.functions.phones import phone_spellings
+from chatlens.functions.phones import US, phone_spellings
 
 PERSON_KEYS = ["first_name", "last_name"]
 IGNORED_NAMES = ("Error",)
@@ -80,15 +80,16 @@ def full_name() -> Column:
     return F.trim(F.concat_ws(" ", "first_name", "last_name"))
 
 
-def contact_map(identifiers: DataFrame, ignored_names: Sequence[str] = IGNORED_NAMES) -> DataFrame:
+def contact_map(identifiers: DataFrame, ignored_names: Sequence[str] = IGNORED_NAMES, home: str = US) -> DataFrame:
     """(contact_name, chat_identifier, identifier_type), distinct.
 
-    Every phone number appears in each of its spellings.
+    Every phone number appears in each of its spellings; ``home`` is the
+    calling code of the country that numbers without one belong to.
     """
     details = identifiers.select(
         full_name().alias("contact_name"), "identifier_type", F.explode(split_values("value")).alias("detail")
     ).where((F.col("contact_name") != "") & ~F.col("contact_name").isin(*ignored_names))
-    spellings = F.when(F.col("identifier_type") == "phone", phone_spellings(F.col("detail"))).otherwise(
+    spellings = F.when(F.col("identifier_type") == "phone", phone_spellings(F.col("detail"), home)).otherwise(
         F.array("detail")
     )
     return details.select("contact_name", F.explode(spellings).alias("chat_identifier"), "identifier_type").distinct()

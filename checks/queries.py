@@ -10,6 +10,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatlens.functions import phones
 from chatlens.functions.periods import RELATIVE_RANGES, relative_range
 from chatlens.operators import contacts, insights, messages, quality, summaries, tokens
 from chatlens.operators.display import for_display
@@ -184,6 +185,24 @@ def _(t):
     return numbers.select("number", F.explode(contacts.phone_spellings(F.col("number"))).alias("spelling")).distinct()
 
 
+# Numbers of a British address book: 0 leads to a number at home, 00 or + abroad.
+@register(
+    "phone_spellings_abroad",
+    f"""SELECT DISTINCT number, code, e164 FROM (
+          SELECT number, whole, '+' || whole AS e164,
+                 CASE WHEN whole[1] IN ('1', '7') THEN whole[1] WHEN whole[1:2] IN ({values(phones.TWO_DIGITS)}) THEN whole[1:2] ELSE whole[1:3] END AS code
+          FROM (SELECT number, CASE WHEN number LIKE '+%' THEN digits WHEN digits LIKE '00%' THEN substr(digits, 3)
+                                    WHEN digits LIKE '0%' THEN '44' || substr(digits, 2) ELSE '44' || digits END AS whole
+                FROM (SELECT number, regexp_replace(number, '[^0-9]', '', 'g') AS digits FROM ({NUMBERS}))))
+        WHERE length(whole) BETWEEN 8 AND 15 AND whole[1] <> '0' AND (whole[1] <> '1' OR length(whole) = 11)""",
+)
+def _(t):
+    numbers = t.book.select(F.explode(contacts.split_values("phone_number")).alias("number"))
+    whole = phones.international_digits(F.col("number"), "44")
+    found = numbers.withColumn("whole", whole).where("whole IS NOT NULL").distinct()
+    return found.select("number", phones.calling_code(F.col("whole")).alias("code"), F.concat(F.lit("+"), "whole").alias("e164"))
+
+
 @register(
     "contact_map",
     f"""SELECT contact_name, spelling AS chat_identifier, 'phone' AS identifier_type FROM ({SPELLINGS}) WHERE contact_name <> 'Error'

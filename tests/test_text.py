@@ -106,12 +106,36 @@ US = ["+14155552671", "(415) 555-2671", "+1 415-555-2671"]
         ("1-415-555-2671", US),
         ("+44 20 7946 0958", ["+442079460958", "+44 20 7946 0958"]),
         ("911", ["911"]),
+        ("011 44 20 7946 0958", ["+442079460958", "011 44 20 7946 0958"]),
+        ("+44 (0)20 7946 0958", ["+442079460958", "+44 (0)20 7946 0958"]),
+        ("+12345", ["+12345"]),
+        ("", [""]),
     ],
 )
 def test_phone_spellings(spark, value, expected):
     assert evaluate(spark, phones.phone_spellings, value) == expected
 
 
+@pytest.mark.parametrize(
+    ("home", "value", "expected"),
+    [
+        ("44", "020 7946 0958", ["+442079460958", "020 7946 0958"]),
+        ("44", "00353 1 234 5678", ["+35312345678", "00353 1 234 5678"]),
+        ("44", "+1 415 555 2671", US),
+        ("44", "999", ["999"]),
+        ("39", "06 1234 5678", ["+390612345678", "06 1234 5678"]),
+        ("49", "0301234567890123", ["0301234567890123"]),
+    ],
+)
+def test_phones_of_other_countries(spark, home, value, expected):
+    assert evaluate(spark, lambda number: phones.phone_spellings(number, home), value) == expected
+
+
+@pytest.mark.parametrize(("digits", "code"), [("14155552671", "1"), ("79261234567", "7"), ("442079460958", "44"), ("35312345678", "353")])
+def test_calling_codes(spark, digits, code):
+    assert evaluate(spark, phones.calling_code, digits) == code
+
+
 @pytest.mark.parametrize(
     ("day", "granularity", "expected"),
     [
