@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chatlens.functions import phones
 from chatlens.functions.periods import RELATIVE_RANGES, relative_range
-from chatlens.operators import contacts, insights, messages, quality, summaries, tokens
+from chatlens.operators import contacts, insights, messages, quality, stems, summaries, tokens
 from chatlens.operators.display import for_display
 from chatlens.plans.tables import TableSet, register_views
 from chatlens.schemas import CONTACT_TYPES, MEASURES, OVERALL_TYPES, STATIC_SCHEMAS
