@@ -7,6 +7,8 @@ phrases grow by a word at a time: a shard extends the intervals of the phrases
 that are frequent in the whole corpus, to the left or to the right by turns,
 and sends one row with its count for each extension whose other part is
 frequent too.  Sums over the shards give the frequent phrases of the next size.
+Up to a bound these are sent to all shards, beyond it only to those that hold
+them, by a shuffle.
 
 A phrase is known by its two parts, without its last and without its first
 word, so counts of parts and extensions come from joins on numbers.  What a
@@ -193,48 +195,77 @@ def _sequences(shards: DataFrame, words: DataFrame) -> DataFrame:
     return written(both.applyInArrow(run, "shard bigint, grams binary, length bigint, sequence binary"), "phrase-sequences")
 
 
-def _index(length: int, grams: bytes, held: bytes, depth: int, left: bool) -> tuple[BiIndex, np.ndarray]:
-    """The index of a shard, with the transform that extensions to one side need, and the numbers of its words."""
-    numbers, sequence = np.frombuffer(grams, "<i8"), _unpacked(held, length)
-    one = transform(sequence if left else sequence[::-1], depth)
-    return BiIndex(*((one, None) if left else (None, one)), len(numbers)), numbers
+class Frequent:
+    """Numbers of the frequent phrases of one size, found by the numbers of their two parts."""
 
+    def __init__(self, head: np.ndarray, tail: np.ndarray, gram: np.ndarray):
+        self.heads, first = np.unique(head, return_inverse=True)
+        self.tails, second = np.unique(tail, return_inverse=True)
+        key = first.astype(np.int64) * max(len(self.tails), 1) + second
+        order = np.argsort(key)
+        self.keys, self.grams = key[order], gram[order]
 
-def _first_pairs(sequences: DataFrame, depth: int) -> DataFrame:
-    """The pairs of frequent words in each shard."""
+    def find(self, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of these phrases are frequent, their numbers)."""
+        if not len(self.keys):
+            return np.zeros(len(head), bool), np.empty(0, np.int64)
+        first = np.minimum(np.searchsorted(self.heads, head), len(self.heads) - 1)
+        second = np.minimum(np.searchsorted(self.tails, tail), len(self.tails) - 1)
+        key = first * len(self.tails) + second
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = (self.heads[first] == head) & (self.tails[second] == tail) & (self.keys[at] == key)
+        return hit, self.grams[at[hit]]
+
+
+def _to_left(size: int) -> bool:
+    """The side to which phrases grow to this size: by turns."""
+    return size % 2 == 0
+
+
+def _pairs(sequences: DataFrame, smaller: list[Frequent], depth: int) -> DataFrame:
+    """The phrases in each shard one word longer than the largest of ``smaller``, both parts of which are frequent.
+
+    Each shard is searched anew from its words on; nothing is shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                index, numbers = _index(row["length"], row["grams"], row["sequence"], depth, True)
+                numbers, sequence = np.frombuffer(row["grams"], "<i8"), _unpacked(row["sequence"], row["length"])
+                both = len(smaller) > 0
+                index = BiIndex(transform(sequence, depth), transform(sequence[::-1], depth) if both else None, len(numbers))
                 single = index.words()
-                rows = grown(index, single.low, single.back, single.count, numbers, True)
-                yield from _pair_rows(row["shard"], *rows).to_batches()
+                low, back, n, head, tail = grown(index, single.low, single.back, single.count, numbers, _to_left(2))
+                for size, frequent in enumerate(smaller, 3):
+                    hit, gram = frequent.find(head, tail)
+                    low, back, n, head, tail = grown(index, low[hit], back[hit], n[hit], gram, _to_left(size))
+                yield from _pair_rows(row["shard"], low, back, n, head, tail).to_batches()
 
-    return written(map_arrow(sequences, run, PAIRS), "phrase-pairs")
+    return map_arrow(sequences, run, PAIRS)
 
 
-def _next_pairs(sequences: DataFrame, pairs: DataFrame, grams: DataFrame, depth: int, left: bool) -> DataFrame:
-    """The phrases one word longer than the frequent ones, in each shard."""
-    frequent = _matched(pairs, grams.select("head", "tail", "gram"), ["head", "tail"])
-    frequent = frequent.select(F.col("shard").alias("of"), "low", "back", "n", "gram")
+def _pairs_of(sequences: DataFrame, known: DataFrame, depth: int, left: bool) -> DataFrame:
+    """The same from written rows (shard, low, back, n, gram) of the frequent phrases in each shard."""
 
     def run(sequence: pa.Table, known: pa.Table) -> pa.Table:
         none = np.empty(0, np.int64)
         if not sequence.num_rows or not known.num_rows:
             return _pair_rows(0, none, none, none, none, none)
+        steady_memory()
         shard, held, length, packed = (sequence.column(c)[0].as_py() for c in ("shard", "grams", "length", "sequence"))
-        index, _ = _index(length, held, packed, depth, left)
+        one = _unpacked(packed, length)
+        one = transform(one if left else one[::-1], depth)
+        index = BiIndex(*((one, None) if left else (None, one)), len(held) // 8)
         known = known.sort_by("low")
         low, back, n, gram = (known.column(c).to_numpy().astype(np.int64) for c in ("low", "back", "n", "gram"))
-        steady_memory()
         rows = _pair_rows(shard, *grown(index, low, back, n, gram, left))
         give_back()
         return rows
 
-    both = sequences.groupBy("shard").cogroup(frequent.groupBy("of"))
-    return written(both.applyInArrow(run, PAIRS), "phrase-pairs")
+    ship(sequences.sparkSession)
+    known = known.withColumnRenamed("shard", "of")
+    return sequences.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(run, PAIRS)
 
 
 def phrase_counts(documents: DataFrame, longest: int = 4, least: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -267,8 +298,9 @@ def phrase_counts(documents: DataFrame, longest: int = 4, least: int = 30) -> tu
     )
     sequences = _sequences(shards, words)
     drop(shards)
-    pairs, levels = _first_pairs(sequences, longest), []
+    levels, smaller, known = [], [], None
     for size in range(2, longest + 1):
+        pairs = _pairs(sequences, smaller, longest) if known is None else _pairs_of(sequences, known, longest, _to_left(size))
         grams = pairs.groupBy("head", "tail").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
         grams = written(grams.withColumn("gram", F.monotonically_increasing_id()), "phrase-grams")
         either = grams.select(F.explode(F.array("head", "tail")).alias("gram"), "a")
@@ -291,10 +323,19 @@ def phrase_counts(documents: DataFrame, longest: int = 4, least: int = 30) -> tu
             ),
             "phrase-level",
         )
-        spent = pairs
-        if size < longest:
-            pairs = _next_pairs(sequences, pairs, grams, longest, left=size % 2 == 1)
-        drop(spent)
+        if size == longest:
+            break
+        numbered = grams.select("head", "tail", "gram")
+        if known is None and numbered.count() <= BROADCAST_ROWS:
+            found = numbered.toArrow()  # at most BROADCAST_ROWS rows of three numbers
+            smaller.append(Frequent(*(found.column(c).to_numpy() for c in ("head", "tail", "gram"))))
+        else:
+            spent = known
+            known = written(pairs.join(numbered, ["head", "tail"]).select("shard", "low", "back", "n", "gram"), "phrase-known")
+            if spent is not None:
+                drop(spent)
+    if known is not None:
+        drop(known)
     drop(sequences)
     levels.append(level.withColumns({"longer": F.lit(0).cast("bigint"), "size": F.lit(longest)}))
     phrases = levels[0]

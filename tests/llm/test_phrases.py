@@ -72,8 +72,10 @@ def test_stable_order_with_and_without_room_for_places():
     assert fm_index.stable_order(key, 3).tolist() == fm_index.stable_order(key, 1 << 62).tolist() == [3, 1, 4, 0, 2]
 
 
-def test_collocations_of_many_shards(spark, monkeypatch):
+@pytest.mark.parametrize("bound", [400_000, 150, 0])
+def test_collocations_of_many_shards(spark, monkeypatch, bound):
     monkeypatch.setattr(phrases, "SHARD", 500)
+    monkeypatch.setattr(phrases, "BROADCAST_ROWS", bound)
     rows = random_rows(1)
     documents = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     for least, top in ((4, 1000), (9, 25)):
