@@ -71,12 +71,32 @@ def read_current(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     return _read_version(spark, f"{path}/{newest}", schema)
 
 
+def store_by_key(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Keep a table in the catalogue, dealt into ``buckets`` by a key and sorted by it.
+
+    Joins and groupings by that key then need no shuffle of it: the other side
+    is shuffled to its buckets, if these are no fewer than
+    spark.sql.shuffle.partitions.  Each bucket is one file; null keys share one.
+    """
+    dealt = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    dealt.option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def new_rows(df: DataFrame, existing: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """Rows whose keys the existing table does not hold yet, one of each key; null keys count as equal."""
+    """Rows whose keys the existing table does not hold yet, one of each key; null keys count as equal.
+
+    Whole keys are compared by plain equality, so an existing table that is
+    stored by its key stays where it is; only keys with a null, of which both
+    sides are filtered first, take the other way.
+    """
     keys = list(keys)
-    known = existing.select(*(F.col(key).alias(f"known_{key}") for key in keys)).distinct()
+    candidates = df.dropDuplicates(keys)
+    holes = reduce(lambda a, b: a | b, (F.col(key).isNull() for key in keys))
+    whole = candidates.where(~holes).join(existing.select(*keys), keys, "left_anti").select(*df.columns)
+    known = existing.where(holes).select(*(F.col(key).alias(f"known_{key}") for key in keys))
     same = reduce(lambda a, b: a & b, (F.col(key).eqNullSafe(F.col(f"known_{key}")) for key in keys))
-    return df.dropDuplicates(keys).join(known, same, "left_anti")
+    return whole.unionByName(candidates.where(holes).join(known, same, "left_anti"))
 
 
 def append_new_rows(df: DataFrame, path: str, keys: Iterable[str]) -> None:

@@ -254,3 +254,43 @@ def test_rankings_read_their_table_once(spark):
         insights.cumulative_volume(daily, 5, "Week"),
     ]
     assert [scans(df) for df in frames] == [scans(daily)] * 4
+
+
+def above_scans(df, table, column):
+    """For each scan of a table that gives a column: the operators above it, up to the first join."""
+    out = []
+
+    def walk(node, above):
+        name, children = node.nodeName(), node.children()
+        if name.endswith(f".{table}") and f"{column}#" in node.output().mkString(","):
+            joins = [k for k, other in enumerate(above) if "Join" in other]
+            out.append(above[: joins[0] + 1] if joins else above)
+        for k in range(children.size()):
+            walk(children.apply(k), [name, *above])
+
+    walk(df._jdf.queryExecution().executedPlan().initialPlan(), [])
+    return out
+
+
+def test_joins_by_a_stored_key_leave_the_large_side_in_place(spark, raw, tmp_path):
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        plain = TableSet(spark, raw, AS_OF)["message_user"]
+        message = sinks.store_by_key(raw["message"], "stored_message", f"{tmp_path}/m", "ROWID", 8)
+        stored = TableSet(spark, {**raw, "message": message}, AS_OF)["message_user"]
+        wide = above_scans(stored, "stored_message", "text")
+        assert wide and all("Exchange" not in path and "SortMergeJoin" in path for path in wide)
+        assert rows(stored) == rows(plain)
+        known = sinks.store_by_key(plain, "stored_messages", f"{tmp_path}/u", "message_id", 8)
+        fresh = sinks.new_rows(plain.where("message_id % 3 = 0"), known.where("message_id % 2 = 0"), ["message_id"])
+        large = above_scans(fresh, "stored_messages", "message_id")
+        assert any(path[-1] == "SortMergeJoin" and "Exchange" not in path for path in large)
+        assert sorted(r.message_id for r in fresh.collect()) == sorted(
+            r.message_id for r in plain.where("message_id % 3 = 0 AND message_id % 2 <> 0").collect()
+        )
+    finally:
+        spark.conf.set(limit, before)
+        for table in ("stored_message", "stored_messages"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
