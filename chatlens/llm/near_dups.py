@@ -489,6 +489,11 @@ def near_duplicate_classes(documents: DataFrame) -> DataFrame:
     null ones among them, are alike only if equal (null is the empty text).
     Rows without an id are in their text's class, but give it no name.
     Repeated rows stay; other columns are left out; an empty table gives none.
+
+    A pair of a similarity of just SIMILARITY is not compared with a probability
+    of some 3e-6, having no bucket in common, and in buckets of up to FEW
+    members of some 3e-5, as its signatures differ by chance; more similar
+    pairs are missed far more rarely.  In larger buckets no pair is missed.
     """
     sketches = written(_sketched(documents), "sketches")
     nodes = sketches.groupBy("key").agg(F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
