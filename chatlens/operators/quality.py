@@ -187,8 +187,8 @@ def measure_sums_disagree(daily: DataFrame, measures: tuple[str, ...] = tuple(CO
     )
 
 
-def require_rows(df: DataFrame, what: str) -> DataFrame:
-    """The frame itself; reading it is an error if it has no rows.
+def with_required_rows(df: DataFrame, what: str) -> DataFrame:
+    """The frame's rows; reading them is an error if there are none.
 
     Nothing runs before it is read: the check is a branch of the plan that
     looks for one row, and adds none.
@@ -196,3 +196,10 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     missing = F.raise_error(F.lit(f"no rows in {what}")).cast("boolean")
     found = df.limit(1).agg(F.count(F.lit(1)).alias("found")).where(F.when(F.col("found") == 0, missing).otherwise(False))
     return df.unionByName(found.select(*(F.lit(None).cast(field.dataType).alias(field.name) for field in df.schema.fields)))
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """The frame itself, or at once an error if it has no rows; with_required_rows() runs nothing yet."""
+    if df.isEmpty():
+        raise ValueError(f"no rows in {what}")
+    return df

@@ -1038,7 +1038,7 @@ def _(t):
 
 @register("required_rows", f"SELECT * FROM daily_from_who WHERE {RANGE_SQL}", SUMMARIES)
 def _(t):
-    return quality.require_rows(insights.in_range(t["daily_summary_from_who"], START, STOP), "the chosen range")
+    return quality.with_required_rows(insights.in_range(t["daily_summary_from_who"], START, STOP), "the chosen range")
 
 
 @register("contacts_user_in_order", "SELECT * FROM contacts_user ORDER BY contact_name")

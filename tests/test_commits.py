@@ -236,9 +236,9 @@ def jobs_of(spark, run):
 
 def test_required_rows_are_checked_when_read(spark):
     daily = Tables(spark, SMALL, "events")["daily_summary"]
-    some, n_jobs = jobs_of(spark, lambda: quality.require_rows(daily, "the days"))
+    some, n_jobs = jobs_of(spark, lambda: quality.with_required_rows(daily, "the days"))
     assert n_jobs == 0 and rows(some) == rows(daily)
-    none = quality.require_rows(insights.in_range(daily, dt.date(1999, 1, 1), dt.date(1999, 1, 2)), "the range")
+    none = quality.with_required_rows(insights.in_range(daily, dt.date(1999, 1, 1), dt.date(1999, 1, 2)), "the range")
     for read in (none.collect, none.count):
         with pytest.raises(PySparkException, match="no rows in the range"):
             read()
