@@ -76,6 +76,20 @@ def bare_word(token: Column) -> Column:
     return F.when(word.isin("s", "d"), F.lit("")).otherwise(word)
 
 
+def one_of(points: Column) -> Column:
+    """Pattern of one character, given the code points as a sorted array without repeats.
+
+    Neighbours become ranges, as each part of the class is tried in turn, and
+    what lies outside all of them fails at the first part, the span.
+    """
+    mark = lambda point: F.concat(F.lit(r"\x{"), F.hex(point), F.lit("}"))
+    span = lambda low, high: F.concat(mark(low), F.lit("-"), mark(high))
+    lows = F.filter(points, lambda point, i: F.coalesce(F.get(points, i - 1) + 1 != point, F.lit(True)))
+    highs = F.filter(points, lambda point, i: F.coalesce(F.get(points, i + 1) - 1 != point, F.lit(True)))
+    parts = F.array_join(F.zip_with(lows, highs, span), "")
+    return F.concat(F.lit("["), span(F.array_min(points), F.array_max(points)), F.lit("&&["), parts, F.lit("]]"))
+
+
 def is_punctuation(token: Column) -> Column:
     """True if the token occurs as it stands in the list of marks."""
     return F.instr(F.lit(PUNCTUATION), token) > 0

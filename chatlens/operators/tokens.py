@@ -81,9 +81,8 @@ def message_emoji_map(message_user: DataFrame, emoji: DataFrame) -> DataFrame:
     last characters of all of them as one pattern, so a message is judged
     inside its row, and its tokens are looked at only if such a character occurs.
     """
-    last = F.concat(F.lit(r"\x{"), F.hex(F.ascii(F.substring("emoji", -1, 1))), F.lit("}"))
-    ends = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set(last)), ""), F.lit("]"))
-    pattern = emoji.agg(F.when(F.count("emoji") > 0, ends).otherwise("(?!)")).scalar()
+    last = F.array_sort(F.collect_set(F.ascii(F.substring("emoji", -1, 1))))
+    pattern = emoji.agg(F.when(F.count("emoji") > 0, words.one_of(last)).otherwise("(?!)")).scalar()
     known = emoji.agg(F.collect_set("emoji")).scalar()
     likely = is_text_message() & (F.regexp_instr("text", pattern) > 0)
     found = F.when(likely, F.arrays_overlap(words.tokens(F.col("text")), known))

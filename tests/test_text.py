@@ -1,6 +1,7 @@
 """Golden rows of the text, phone and calendar expressions."""
 
 import datetime as dt
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,6 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chatlens.functions import periods, phones, text
+from chatlens.operators import tokens
+from chatlens.sources import dimensions
 
 
 def evaluate(spark, expression, value, kind="string"):
@@ -179,3 +182,26 @@ def test_relative_ranges():
     assert periods.relative_range("This week", sunday)[0] == dt.date(2024, 1, 21)
     with pytest.raises(ValueError):
         periods.relative_range("Last century", sunday)
+
+
+@pytest.mark.parametrize(
+    ("chars", "parts"),
+    [("a", 1), ("abc", 1), ("acd", 2), (")]^&-[\\", 4), ("\xa9\xae", 2), ("👍👎🏻🏼🏽\U000e007f⃣", 4)],
+)
+def test_one_of_is_a_span_of_few_ranges(spark, chars, parts):
+    points = F.lit(sorted(map(ord, chars)))
+    pattern = spark.range(1).select(text.one_of(points)).first()[0]
+    assert pattern.count("-") == 1 + parts
+    near = sorted({chr(ord(c) + step) for c in chars for step in (-2, -1, 0, 1, 2)} | set("az09 é中"))
+    seen = spark.createDataFrame([(c,) for c in near], "c string").where(F.regexp_instr("c", F.lit(pattern)) > 0)
+    assert {row.c for row in seen.collect()} == set(chars)
+
+
+def test_long_texts_are_searched_for_emoji_in_moments(spark):
+    emoji = dimensions.emoji_dim(spark)
+    words = spark.range(40).select(F.repeat(F.lit("lorem ipsum é 中文 "), 10_000).alias("text"), F.col("id").alias("message_id"))
+    texts = words.withColumn("text", F.when(F.col("message_id") == 7, F.concat("text", F.lit(" 👍"))).otherwise(F.col("text")))
+    texts = texts.select("message_id", "text", F.lit(True).alias("is_text"), F.lit(False).alias("has_no_text"))
+    start = time.monotonic()
+    found = [row.message_id for row in tokens.message_emoji_map(texts, emoji).where("has_emoji").collect()]
+    assert found == [7] and time.monotonic() - start < 20
