@@ -88,13 +88,15 @@ def new_rows(df: DataFrame, existing: DataFrame, keys: Iterable[str]) -> DataFra
 
     Whole keys are compared by plain equality, so an existing table that is
     stored by its key stays where it is; only keys with a null, of which both
-    sides are filtered first, take the other way.
+    sides are filtered first, take the other way.  Repeated keys of the existing
+    table are combined before they cross the network.
     """
     keys = list(keys)
     candidates = df.dropDuplicates(keys)
     holes = reduce(lambda a, b: a | b, (F.col(key).isNull() for key in keys))
-    whole = candidates.where(~holes).join(existing.select(*keys), keys, "left_anti").select(*df.columns)
-    known = existing.where(holes).select(*(F.col(key).alias(f"known_{key}") for key in keys))
+    held = existing.select(*keys).distinct()
+    whole = candidates.where(~holes).join(held, keys, "left_anti").select(*df.columns)
+    known = held.where(holes).select(*(F.col(key).alias(f"known_{key}") for key in keys))
     same = reduce(lambda a, b: a & b, (F.col(key).eqNullSafe(F.col(f"known_{key}")) for key in keys))
     return whole.unionByName(candidates.where(holes).join(known, same, "left_anti"))
 

@@ -1022,8 +1022,10 @@ def _(t):
 )
 def _(t):
     # Repeated keys in plenty, and null ones on both sides.
+    # Messages are spread by their id before they are split, so that their tokens meet the kinds where they are.
     kinds = t["message_user"].select("message_id", "is_group_chat", "is_from_me")
-    held = t["message_tokens_unnest"].join(kinds, "message_id")
+    spread = t.all.with_tables(message_user=t["message_user"].repartition("message_id"))
+    held = spread["message_tokens_unnest"].join(kinds.hint("shuffle_hash"), "message_id")
 
     def keys(rows, missing):
         return rows.select(F.nullif("token", F.lit(missing)).alias("token"), "is_group_chat")

@@ -14,7 +14,7 @@ from chatlens.plans.tables import DAILY_TABLES, WRITTEN_TABLES, TableSet, commit
 from chatlens.sources import sinks
 from chatlens.sources.commits import CommitConflict, TableStore
 from checks.bindings import Bound
-from checks.queries import Tables
+from checks.queries import Tables, spark_queries
 
 SMALL = "/root/testdata/sf0.001"
 AS_OF = dt.date(2024, 3, 31)
@@ -294,3 +294,39 @@ def test_joins_by_a_stored_key_leave_the_large_side_in_place(spark, raw, tmp_pat
         spark.conf.set(limit, before)
         for table in ("stored_message", "stored_messages"):
             spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def under_exchanges(df):
+    """For each shuffle of the plan the operators below it, down to the next shuffle, aggregate or broadcast."""
+    ends, out = ("Exchange", "HashAggregate", "BroadcastExchange"), []
+
+    def names(node):
+        held = [node.nodeName()]
+        return held if held[0] in ends else held + [n for k in range(node.children().size()) for n in names(node.children().apply(k))]
+
+    def walk(node):
+        for k in range(node.children().size()):
+            if node.nodeName() == "Exchange":
+                out.append(names(node.children().apply(k)))
+            walk(node.children().apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan().initialPlan())
+    return out
+
+
+def test_new_rows_send_no_repeats_and_no_tokens(spark, tmp_path):
+    texts = [(i, "s", "en", text) for i, text in enumerate(("a, b", "b. b c", None, "c d, a", "c.")) for _ in range(2)] + [(None, "s", "en", "z")]
+    spark.createDataFrame(texts, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        known = spark.range(1000).select((F.col("id") % 10).alias("token"))
+        fresh = sinks.new_rows(spark.range(20).select(F.col("id").alias("token")), known, ["token"])
+        assert {row.token for row in fresh.collect()} == set(range(10, 20))
+        assert all(below == ["HashAggregate"] for below in under_exchanges(fresh))
+        found = spark_queries()["new_rows_documents"](spark, str(tmp_path))
+        assert sorted((row.token or "", row.is_group_chat) for row in found.collect()) == [(".", False), ("d", False)]
+        assert under_exchanges(found) and not any("Generate" in below for below in under_exchanges(found))
+    finally:
+        spark.conf.set(limit, before)
