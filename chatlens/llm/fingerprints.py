@@ -21,48 +21,87 @@ WINDOW = 8
 BUCKET = 1000
 #: Quantiles of the ids that buckets are laid along.
 PIECES = 128
+_BORDER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: Of a text read backwards: the word at its end, which may go on behind it, and GRAM - 1 words more.
+LAST_WORDS = rf"\A[^{_BORDER}]*+(?:[{_BORDER}]++[^{_BORDER}]++){{0,{GRAM - 1}}}"
+
+
+def _rolling(words: Column) -> Column:
+    """32-bit hashes of the k-grams of k words or more."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(words) - GRAM),
+        lambda i: F.hash(*[F.get(words, i + j) for j in range(GRAM)]),
+    )
 
 
 def _grams(words: Column) -> Column:
     """32-bit hashes of the k-grams; fewer than k words are one gram, no words none."""
+    few = F.when(F.size(words) > 0, F.array(F.hash(F.array_join(words, " ")))).otherwise(_none())
+    return F.when(F.size(words) >= GRAM, _rolling(words)).otherwise(few)
 
-    def gram(array: Column) -> Column:
-        rolling = F.transform(
-            F.sequence(F.lit(0), F.size(array) - GRAM),
-            lambda i: F.hash(*[F.get(array, i + j) for j in range(GRAM)]),
-        )
-        few = F.when(F.size(array) > 0, F.array(F.hash(F.array_join(array, " ")))).otherwise(F.expr("CAST(array() AS array<int>)"))
-        return F.when(F.size(array) >= GRAM, rolling).otherwise(few)
 
-    return gram(words)
+def _none() -> Column:
+    return F.expr("CAST(array() AS array<int>)")
 
 
-def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds ``name``: array of (at, gram), the winnowed k-grams of a text in order of position.
-
-    Null and empty texts, and texts without words, have an empty one; a text of
-    fewer than WINDOW k-grams has the least of all.
-    """
-    words, grams, least = f"{name}_words", f"{name}_grams", f"{name}_least"
-    rows = rows.withColumn(words, words_of(F.col(text)))
-    rows = rows.withColumn(grams, _grams(F.col(words))).drop(words)
-    all_of = F.col(grams)
+def _least(grams: Column, start: Column) -> Column:
+    """Positions of the rightmost least hashes of the windows that begin at ``start`` or later; grams that fill no window are one."""
 
     def least_at(i: Column) -> Column:
-        """Position of the rightmost least hash of the window that starts at i."""
-        own = [F.get(all_of, i + j) for j in range(WINDOW)]
+        own = [F.get(grams, i + j) for j in range(WINDOW)]
         value = F.least(*own)
         # Equality is tried from the right, so that the rightmost wins.
         return reduce(
             lambda rest, j: F.when(own[j] == value, i + j).otherwise(rest), range(1, WINDOW), i
         )
 
-    full = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(grams) - WINDOW), least_at))
-    last = F.size(grams) - F.array_position(F.reverse(all_of), F.array_min(all_of))
-    short = F.when(F.size(grams) > 0, F.array(last.cast("int"))).otherwise(F.expr("CAST(array() AS array<int>)"))
-    rows = rows.withColumn(least, F.when(F.size(grams) >= WINDOW, full).otherwise(short))
-    picked = F.transform(least, lambda at: F.struct(at.alias("at"), F.get(all_of, at).alias("gram")))
-    return rows.withColumn(name, picked).drop(grams, least)
+    full = F.array_distinct(F.transform(F.sequence(start, F.size(grams) - WINDOW), least_at))
+    last = F.size(grams) - F.array_position(F.reverse(grams), F.array_min(grams))
+    short = F.when(F.size(grams) > 0, F.array(last.cast("int"))).otherwise(_none())
+    return F.when(F.size(grams) >= WINDOW, full).otherwise(short)
+
+
+def _picked(least: str, grams: str) -> Column:
+    return F.transform(least, lambda at: F.struct(at.alias("at"), F.get(F.col(grams), at).alias("gram")))
+
+
+def with_fingerprint(rows: DataFrame, text: str, name: str, keep: bool = False) -> DataFrame:
+    """Adds ``name``: array of (at, gram), the winnowed k-grams of a text in order of position.
+
+    Null and empty texts, and texts without words, have an empty one; a text of
+    fewer than WINDOW k-grams has the least of all.  With ``keep`` all the
+    grams and the number of words stay, as <name>_grams and <name>_n_words.
+    """
+    words, n_words, grams, least = f"{name}_words", f"{name}_n_words", f"{name}_grams", f"{name}_least"
+    rows = rows.withColumn(words, words_of(F.col(text)))
+    rows = rows.withColumns({grams: _grams(F.col(words)), n_words: F.size(words)}).drop(words)
+    rows = rows.withColumn(least, _least(F.col(grams), F.lit(0)))
+    return rows.withColumn(name, _picked(least, grams)).drop(least, *(() if keep else (grams, n_words)))
+
+
+def _with_edited_fingerprint(rows: DataFrame, stays: Column, end: Column) -> DataFrame:
+    """Adds edited_fingerprint, of the first ``stays`` characters of ``text`` with ``end`` behind them.
+
+    It equals that of with_fingerprint, which must have been called for ``text``
+    with its grams kept.  The tail, from the last GRAM - 1 whole words that stay
+    on, is all that is taken apart: grams that begin before it, and what is
+    least in windows of such grams alone, are those of the text itself.
+    """
+    backwards = F.reverse(F.substr("text", F.lit(1), stays))
+    rows = rows.withColumn("begin", stays - F.length(F.regexp_extract(backwards, LAST_WORDS, 0)))
+    tail = F.concat(F.substr("text", F.col("begin") + 1, stays - F.col("begin")), end)
+    gone = F.size(words_of(F.substr("text", F.col("begin") + 1, F.length("text"))))
+    rows = rows.withColumns({"tail": words_of(tail), "same": F.col("fingerprint_n_words") - gone})
+    beyond = F.when(F.size("tail") >= GRAM, _rolling(F.col("tail"))).otherwise(_none())
+    grams = F.when(F.col("same") == 0, _grams(F.col("tail"))).otherwise(
+        F.concat(F.slice("fingerprint_grams", F.lit(1), F.col("same")), beyond)
+    )
+    rows = rows.withColumn("grams", grams)
+    # Later positions are least in a window that begins less than twice its length before the tail.
+    known = F.filter("fingerprint.at", lambda at: at <= F.col("same") - WINDOW)
+    found = _least(F.col("grams"), F.greatest(F.col("same") - 2 * (WINDOW - 1), F.lit(0)))
+    rows = rows.withColumn("least", F.array_distinct(F.concat(known, found)))
+    return rows.withColumn("edited_fingerprint", _picked("least", "grams")).drop("begin", "tail", "same", "grams", "least")
 
 
 def as_text(fingerprint: str) -> Column:
@@ -139,17 +178,17 @@ def compare_with_edits(documents: DataFrame) -> DataFrame:
     near_next.  A null text is an empty one; other columns are left out;
     repeated rows stay; an only document is its own next.
     """
-    rows = with_next(documents, lambda met: with_fingerprint(met, "text", "fingerprint"), ("text", "fingerprint"))
+    rows = with_next(
+        documents, lambda met: with_fingerprint(met, "text", "fingerprint", keep=True), ("text", "fingerprint")
+    )
     rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
     quarter = F.call_function("div", F.col("n_chars"), F.lit(4)).cast("int")
-    edited = F.concat(
-        F.substr("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substr("next_text", F.lit(1), quarter)
-    )
-    rows = rows.withColumn("edited", edited).drop("text", "next_text")
-    return with_fingerprint(rows, "edited", "edited_fingerprint").select(
+    rows = rows.withColumns({"stays": F.col("n_chars").cast("int") - quarter, "end": F.substr("next_text", F.lit(1), quarter)})
+    rows = _with_edited_fingerprint(rows, F.col("stays"), F.col("end"))
+    return rows.select(
         "doc_id",
         "n_chars",
-        "edited",
+        F.concat(F.substr("text", F.lit(1), "stays"), "end").alias("edited"),
         "fingerprint",
         "edited_fingerprint",
         likeness("fingerprint", "edited_fingerprint").alias("near_edited"),

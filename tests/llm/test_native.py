@@ -1,8 +1,8 @@
 """Decontamination, URL rules and models, fingerprints and chats, without Python on the main path."""
 
 import hashlib
-import random
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -188,6 +188,21 @@ def test_edits_take_from_the_next_document(spark, bucket, monkeypatch):
     assert sum(r.near_edited for r in found.values()) / len(found) > 0.5
 
 
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark):
+    rng, parts = random.Random(7), ["a", "b", "Cd", "é", "中文", "9", " ", " ", ". ", "\n", "-", "\x7f", "👍"]
+    texts = ["".join(rng.choices(parts, k=rng.choice([0, 1, 3, 8, 20, 40, 80, 160]))) for _ in range(500)]
+    texts += ["x" * 300, "中" * 200, " . " * 50, "w " * 200, None, "one two three four five"]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {row.edited: row.edited_fingerprint for row in fingerprints.compare_with_edits(documents).collect()}
+    whole = fingerprints.with_fingerprint(spark.createDataFrame([(text,) for text in found], "text string"), "text", "wanted")
+    assert found == {row.text: row.wanted for row in whole.collect()} and len(found) > 300
+    # Of a long text only the tail of the edited one is taken apart.
+    long = spark.createDataFrame([(" ".join(map(str, range(1000))), 3000, " end")], "text string, stays int, end string")
+    long = fingerprints.with_fingerprint(long, "text", "fingerprint", keep=True)
+    seen = fingerprints._with_edited_fingerprint(long.withColumn("fingerprint_grams", F.transform("fingerprint_grams", lambda g: F.lit(5))), F.col("stays"), F.col("end"))
+    assert {f.gram for f in seen.first().edited_fingerprint if f.at < 700} == {5}
+
+
 def test_fingerprints_of_odd_documents(odd_documents, no_documents):
     compared = fingerprints.compare_with_edits(odd_documents)
     rows = compared.collect()
