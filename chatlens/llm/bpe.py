@@ -223,14 +223,17 @@ def _fields(frame: DataFrame, *added: T.StructField) -> T.StructType:
     return T.StructType([f for f in frame.schema.fields if f.name not in {a.name for a in added}] + list(added))
 
 
-def encode(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encode(documents: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds ``ids``: the token ids of each text as little-endian unsigned 32-bit integers.
 
     Every row is encoded where it is; nothing is shuffled.  Null and empty
     texts, and texts of white space, have no ids.  Repeated rows stay; a column
-    named ids is replaced.
+    named ids is replaced.  ``keep`` names the other columns that come back, all
+    if it is not given.
     """
     kept = [c for c in documents.columns if c != "ids"]
+    shown = kept if keep is None else [c for c in kept if c in keep]
+    fields = _fields(documents.select(*shown), T.StructField("ids", T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, store = loaded(path)
@@ -238,13 +241,16 @@ def encode(documents: DataFrame, path: str, text: str = "text") -> DataFrame:
             flat, begins = store.ids(*text_bytes(batch.column(text)))
             data = flat.astype("<u4").tobytes()
             ids = pa.array([data[4 * a : 4 * b] for a, b in zip(begins, begins[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], ids], names=[*kept, "ids"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in shown], ids], names=[*shown, "ids"])
 
-    return map_arrow(documents.select(*kept), run, _fields(documents.select(*kept), T.StructField("ids", T.BinaryType())))
+    return map_arrow(documents.select(*kept), run, fields)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """Adds ``decoded``: the text that ids stand for; null ids are none. A column of that name is replaced."""
+    """Adds ``decoded``: the text that ids stand for; null ids are none. A column of that name is replaced.
+
+    What encode() returned is decoded where it is encoded, in the same worker.
+    """
     kept = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +261,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 [*[batch.column(c) for c in kept], pa.array(texts, pa.string())], names=[*kept, "decoded"]
             )
 
-    return map_arrow(encoded.select(*kept), run, _fields(encoded.select(*kept), T.StructField("decoded", T.StringType())))
+    fields = _fields(encoded, T.StructField("decoded", T.StringType()))
+    return map_arrow(encoded if kept == encoded.columns else encoded.select(*kept), run, fields)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -65,15 +65,26 @@ def give_back() -> None:
 
 
 def map_arrow(frame: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with this package at hand in the workers."""
+    """mapInArrow with this package at hand in the workers.
+
+    Of a frame that this returned, both steps become one.  As two they would
+    share a stage, with a Python worker each for every core; idle workers stay
+    and take their turns, so all later stages would find twice as many.
+    """
+    source, before = vars(frame).get("_mapped", (frame, None))
+
+    def steps(batches):
+        return run(before(batches) if before else batches)
 
     def and_give_back(batches):
         steady_memory()
-        yield from run(batches)
+        yield from steps(batches)
         give_back()
 
     ship(frame.sparkSession)
-    return frame.mapInArrow(and_give_back, schema)
+    out = source.mapInArrow(and_give_back, schema)
+    out._mapped = source, steps
+    return out
 
 
 class Scratch:

@@ -127,8 +127,8 @@ def vocabulary() -> str:
 
 
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
-    return bpe.digests(bpe.decode(encoded.drop("text"), vocabulary()))
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary(), keep=["doc_id"])
+    return bpe.digests(bpe.decode(encoded, vocabulary()))
 
 
 def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:

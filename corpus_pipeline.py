@@ -59,7 +59,7 @@ def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 @_stage
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
-    encoded = bpe.encode(docs.select("doc_id", "text"), vocabulary()).drop("text")
+    encoded = bpe.encode(docs.select("doc_id", "text"), vocabulary(), keep=["doc_id"])
     return bpe.digests(bpe.decode(encoded, vocabulary()))
 
 

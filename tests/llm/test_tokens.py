@@ -9,7 +9,9 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from chatlens.llm import bpe, token_files
+from chatlens.llm.queries import llm_queries
 from chatlens.llm.textbytes import text_bytes
 from chatlens.llm.tokens import WordStore
 
@@ -77,6 +79,24 @@ def test_odd_documents(spark, library, odd_documents, no_documents):
     assert bpe.digests(bpe.decode(bpe.encode(no_documents, PATH), PATH)).count() == 0
 
 
+def test_decoding_shares_the_worker_of_encoding(spark):
+    rows = [(1, "it's here", "a"), (1, "it's here", "a"), (2, None, None), (None, "x", "b"), (3, "", "c")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _mapped string")
+    steps = lambda f: f._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    together = bpe.decode(bpe.encode(frame, PATH), PATH)
+    apart = bpe.decode(bpe.encode(frame, PATH).select("*"), PATH)
+    assert (steps(together), steps(apart)) == (1, 2)
+    order = lambda f: sorted(map(repr, f.collect()))
+    assert together.schema == apart.schema and order(together) == order(apart)
+    assert steps(corpus_pipeline.tokens_stage(spark, frame, "")) == 1
+    assert steps(llm_queries()["op8_bpe"](spark, "/root/testdata/sf0.001")) == 1
+    # Other columns than ids come back if asked for; ids and decoded are replaced.
+    few = bpe.encode(frame, PATH, keep=["doc_id"])
+    assert few.columns == ["doc_id", "ids"] and order(few) == order(together.select("doc_id", "ids"))
+    again = bpe.decode(bpe.encode(together, PATH), PATH)
+    assert order(again.select(*together.columns)) == order(together)
+
+
 @pytest.mark.parametrize("top", [1 << 7, 1 << 8, 1 << 16, 1 << 24, (1 << 32) - 1])
 def test_packed_numbers_come_back(top):
     numbers = np.random.default_rng(1).integers(0, top, 1003, dtype=np.uint64)
