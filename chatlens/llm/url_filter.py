@@ -5,15 +5,15 @@ characters of host and path.  A URL that no rule decides is scored by the mean,
 per character, of log P(c | accepted) - log P(c | rejected), and blocked when
 that lies under a threshold calibrated on URLs held back from training.
 
-All counting and scoring are joins and aggregates, so the models may grow with
-the corpus; nothing is collected but the threshold.
+All counting and scoring are joins, windows and aggregates, so the models may
+grow with the corpus; nothing is collected but the threshold.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlens.llm.common import cut
@@ -70,6 +70,16 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
+def _not_broadcast(frame: DataFrame) -> DataFrame:
+    """The frame for a sort-merge join of both sides.
+
+    Spark takes a cut() table for as large as its compressed files, and what
+    explode() makes of a row for one row, so it would broadcast tables of
+    which the driver can't hold the rows.
+    """
+    return frame.hint("merge")
+
+
 def _grams(urls: DataFrame) -> DataFrame:
     """A row per character of a URL: the character behind the ORDER before it, as one string.
 
@@ -105,8 +115,8 @@ def train(labelled: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("no"),
     )
     seen = _contexts(whole).groupBy("order", "ctx", "ch").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    totals = seen.groupBy("order", "ctx").agg(F.sum("yes").alias("yes_all"), F.sum("no").alias("no_all"))
-    return seen.join(totals, ["order", "ctx"])
+    context = Window.partitionBy("order", "ctx")  # as many rows as there are characters, at most
+    return seen.select("*", F.sum("yes").over(context).alias("yes_all"), F.sum("no").over(context).alias("no_all"))
 
 
 def _estimate(count: str, total: str) -> Column:
@@ -126,15 +136,15 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     level = F.struct("order", *[F.coalesce(c, zero).cast("double").alias(c) for c in ("yes", "no", "yes_all", "no_all")])
     ratios = (
         _contexts(grams.select("gram").distinct())
-        .join(model.select("order", "ctx", "ch", "yes", "no"), ["order", "ctx", "ch"], "left")
-        .join(totals, ["order", "ctx"], "left")
+        .join(_not_broadcast(model.select("order", "ctx", "ch", "yes", "no")), ["order", "ctx", "ch"], "left")
+        .join(_not_broadcast(totals), ["order", "ctx"], "left")
         .groupBy("gram")
         .agg(F.sort_array(F.collect_list(level)).alias("levels"))
         .select("gram", (F.log(_estimate("yes", "yes_all")) - F.log(_estimate("no", "no_all"))).alias("ratio"))
     )
     # Rounded sums do not depend on the order in which rows arrive.
     mean = F.round(F.sum(F.round("ratio", 9).cast("decimal(28,9)")).cast("double") / F.count("*"), 6)
-    return grams.join(ratios, "gram").groupBy("host", "path").agg(mean.alias("score"))
+    return grams.join(_not_broadcast(ratios), "gram").groupBy("host", "path").agg(mean.alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -188,7 +198,7 @@ def judge(urls: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     held_back = F.pmod(F.xxhash64("host", "path"), F.lit(HELD_BACK)) == 0
     model = cut(train(labelled.where(~held_back)))
     checked = labelled.where(held_back)
-    threshold = calibrate(checked.join(score(checked, model), ["host", "path"]))
+    threshold = calibrate(checked.join(_not_broadcast(score(checked, model)), ["host", "path"]))
     scores = score(distinct.where("rule IS NULL"), model)
     by_model = F.when(F.coalesce("score", F.lit(0.0)) < threshold, "block").otherwise("allow")
     rest = [c for c in urls.columns if c not in added]
